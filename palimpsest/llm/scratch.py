@@ -1,0 +1,69 @@
+"""Tables written in the folder that the cluster shares, to cut lineage.
+
+Executors may be lost at any time, so nothing is kept on one executor only:
+an intermediate result that is read more than once, or that ends a loop's
+round, is a Parquet table below ``spark.checkpoint.dir``. The setting is read
+from the session; where it is unset (tests), a local folder is made and set.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder's URI."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        root = tempfile.mkdtemp(prefix="palimpsest-")
+        spark.sparkContext.setCheckpointDir(root)
+        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return root
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended; nothing is left to delete with
+            return
+
+
+atexit.register(_clean)
+
+
+class Scratch:
+    """Tables of one operator's run. ``put`` writes one, ``drop`` deletes one early."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        _made.append((spark, self.root))
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the bytes behind a DataFrame, for choosing bucket counts."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
