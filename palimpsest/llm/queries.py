@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, packing, toxicity
+from palimpsest.llm import langid, lattice, packing, toxicity, urls, voronoi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +19,34 @@ def remainder(of: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
 
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     return toxicity.score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     return packing.pack(spark, table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(spark, table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = langid.train(spark, docs, remainder(5) != 0)
@@ -38,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op8_best_fit_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_exact_top_k, op8_best_fit_packing, op9_embedding_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
