@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, langid, lattice, packing, substrings, toxicity, urls, voronoi
+from palimpsest.llm import jaccard, langid, lattice, packing, pii, substrings, toxicity, urls, voronoi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(spark, table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -63,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_exact_top_k, op4_substring_dedup, op6_ngram_jaccard_join, op8_best_fit_packing, op9_embedding_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_exact_top_k, op4_substring_dedup, op6_ngram_jaccard_join, op7_contextual_pii, op8_best_fit_packing, op9_embedding_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
