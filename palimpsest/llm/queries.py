@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, langid, lattice, packing, pii, substrings, toxicity, urls, voronoi
+from palimpsest.llm import jaccard, langid, lattice, packing, pieces, pii, substrings, toxicity, urls, voronoi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return pieces.digest(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -69,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_exact_top_k, op4_substring_dedup, op6_ngram_jaccard_join, op7_contextual_pii, op8_best_fit_packing, op9_embedding_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_exact_top_k, op4_substring_dedup, op5_sentencepiece, op6_ngram_jaccard_join, op7_contextual_pii, op8_best_fit_packing, op9_embedding_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
