@@ -61,9 +61,9 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
     scratch = Scratch(spark, "voronoi")
     rows = scratch.put(quantized(vectors, scale), "rows")
     n = rows.count()
-    # about the root of n pivots, by hashed id: at most MOST_PIVOTS vectors of each width reach the driver
+    # a pivot per tile of rows, by hashed id: at most MOST_PIVOTS vectors of each width reach the driver
     widths = [r["dim"] for r in rows.select("dim").distinct().collect()]
-    many = min(MOST_PIVOTS, max(1, int(n**0.5)))
+    many = min(MOST_PIVOTS, max(1, n // TILE))
     pivots = {d: _matrix([r["v"] for r in rows.where(F.col("dim") == d).orderBy(F.xxhash64("vec_id"), "v").limit(many).collect()]).astype(np.float64) for d in widths}
 
     def assign(batches):
@@ -94,32 +94,30 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
         cells[d] = (np.array([r["cell"] for r in own]), np.array([r["radius"] for r in own]), np.array([j for j, _ in reach]), np.array([x for _, x in reach]))
     tiles = {(r["dim"], r["cell"]): -(-r["n"] // TILE) for r in summary}
 
-    def route(batches):  # queries to the cells that may hold one of their best
-        for b in batches:
-            ids, dim, home = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
-            raw = b.column(3).to_pylist()
-            for d, h in sorted(set(zip(dim.tolist(), home.tolist(), strict=True))):
-                at = np.flatnonzero((dim == d) & (home == h))
-                names, radius, of, far = cells[d]
-                for group in np.array_split(at, -(-len(at) // TILE)):
-                    q = _matrix([raw[i] for i in group]).astype(np.float64).reshape(len(group), d)
-                    length, dots = np.sqrt((q**2).sum(1)), q @ pivots[d][names].T
-                    least = dots[:, of] - length[:, None] * far
-                    slack = 1e-9 * (1 + length * (1 + np.abs(pivots[d]).max()) * (d + 1))
-                    floor = np.sort(least, 1)[:, -(k + 1)] - slack if least.shape[1] > k else np.full(len(q), -np.inf)
-                    best = dots + length[:, None] * radius
-                    for j in np.flatnonzero((best >= floor[:, None]).any(0)):
-                        go = best[:, j] >= floor
-                        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([int(names[j])], pa.int64()), pa.array([ids[group[go]].tobytes()], pa.binary()), pa.array([floor[go].tobytes()], pa.binary()), pa.array([b"".join(raw[i] for i in group[go])], pa.binary())], ["dim", "cell", "q_ids", "floors", "q"])
-
-    routed = dealt.where(is_query).select("vec_id", "dim", "cell", "v").mapInArrow(route, "dim long, cell long, q_ids binary, floors binary, q binary")
+    def route(table: pa.Table) -> pa.Table:  # a group of queries to the cells that may hold one of their best
+        d, ids, raw = table["dim"][0].as_py(), table["vec_id"].to_numpy(), table["v"].to_pylist()
+        q = _matrix(raw).astype(np.float64).reshape(len(raw), d)
+        names, radius, of, far = cells[d]
+        length, dots = np.sqrt((q**2).sum(1)), q @ pivots[d][names].T
+        least = dots[:, of] - length[:, None] * far
+        slack = 1e-9 * (1 + length * (1 + np.abs(pivots[d]).max(initial=0)) * (d + 1))
+        floor = np.sort(least, 1)[:, -(k + 1)] - slack if least.shape[1] > k else np.full(len(q), -np.inf)
+        best = dots + length[:, None] * radius
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for j in np.flatnonzero((best >= floor[:, None]).any(0)):
+            go = np.flatnonzero(best[:, j] >= floor)
+            for to, v in zip(out, (d, int(names[j]), ids[go].tobytes(), floor[go].tobytes(), b"".join(raw[i] for i in go)), strict=True):
+                to.append(v)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("dim", "cell", "q_ids", "floors", "q"), out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
     sizes = spark.createDataFrame([(*c, t) for c, t in tiles.items()] or [(0, 0, 1)], "dim long, cell long, tiles long")  # a row per pivot
 
     def tile(table: pa.Table) -> pa.Table:
         return pa.table({"dim": table["dim"][:1], "cell": table["cell"][:1], "s_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "s": pa.array([b"".join(table["v"].to_pylist())], pa.binary())})
 
-    tiled = dealt.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.col("tiles"))).groupBy("dim", "cell", "tile").applyInArrow(tile, "dim long, cell long, s_ids binary, s binary")
+    placed = dealt.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.col("tiles")))
+    routed = placed.where(is_query).select("vec_id", "dim", "cell", "tile", "v").groupBy("dim", "cell", "tile").applyInArrow(route, "dim long, cell long, q_ids binary, floors binary, q binary")
+    tiled = placed.groupBy("dim", "cell", "tile").applyInArrow(tile, "dim long, cell long, s_ids binary, s binary")
 
     def solve(batches):
         for b in batches:
