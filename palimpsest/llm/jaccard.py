@@ -4,16 +4,18 @@ A text is the set of its distinct k-word shingles, hashed to 64 bits. Equal sets
 become one node, kept with its SKETCH smallest hashes: what two sets share shows
 in their sketches, since the smallest hashes of a union are a random sample of it.
 
-1. Grouping. Every sketch token has a pivot, one of the nodes that hold it, and
-   nodes are compared with their pivots only: a number of pairs in proportion to
-   the tokens, however many nodes share one. Verified links make the groups,
-   which are cut into pieces of at most about GROUP nodes.
+1. Grouping. Every sketch token has a pivot, of the nodes that hold it the one
+   that has most in common with others, and nodes are compared with their pivots
+   only: a number of pairs in proportion to the tokens, however many nodes share
+   one. Verified links make the groups, which are cut into pieces of at most
+   about GROUP nodes; nodes without a link are grouped by the pivot they are like.
+   A second round chooses pivots by another order.
 2. Matrix. Each group keeps the union of its members' tokens: rows (token,
-   group). Pairs of groups from different components count the tokens they share,
-   and only pairs whose count reaches the bound that a link would imply are
-   opened, member by member. Links inside a component cannot change the result.
-3. Tokens that more than HOT components hold are left out of the matrix, and the
-   bound falls accordingly. Nodes that keep too few tokens are compared by an
+   group). Pairs of groups count the tokens they share, and only pairs whose count
+   reaches the bound that a link would imply are opened, as a tile that one matrix
+   product solves. Links inside a component can't change the result.
+3. Tokens that more than HOT groups' families hold are left out of the matrix,
+   and the bound falls accordingly. Nodes that keep too few tokens are compared by an
    exact prefix of their whole set with the whole sets of all nodes, in blocks.
 
 Every link is verified on whole sets. With w distinct shingles, sketches miss a
@@ -35,7 +37,8 @@ from palimpsest.llm.scratch import Scratch
 SKETCH = 64
 GROUP = 64
 HOT = 48
-ROUNDS = 3
+#: From this share on, nodes that aren't linked with a pivot count as like it.
+ALIKE = 0.3
 #: Nodes without enough usable tokens that are compared in one pass.
 BLOCK = 5_000
 
@@ -70,24 +73,61 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "node long, n long, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) for which 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, share, linked) of pairs (a, b) whose sizes don't rule out a link: intersection by union, and whether 100 * intersection >= percent * union."""
 
     def work(batches):
         for b in batches:
-            keep = []
+            share, linked = [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)))
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+                share.append(same / (len(both) - same))
+                linked.append(100 * same >= percent * (len(both) - same))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "share", "linked"])
 
     a, b = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"s{c}")) for c in "ab")
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long, share double, linked boolean")
+
+
+def _solved(percent: int):
+    """Links of a tile's nodes (node, root, n, hashes) that join different components: all pairs are counted by one matrix product, and of the links a spanning forest is returned."""
+
+    def work(table: pa.Table) -> pa.Table:
+        node, root, n = table["node"].to_numpy(), table["root"].to_numpy(), table["n"].to_numpy()
+        sets = [np.frombuffer(h, U64) for h in table["hashes"].to_pylist()]
+        if len(sets) > 1 and len(np.unique(root)) > 1:
+            tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+            held = np.bincount(column) > 1  # a hash that one node has adds to no intersection
+            place = np.cumsum(held) - 1
+            row = np.repeat(np.arange(len(sets)), n)[held[column]]
+            has = np.zeros((len(sets), int(held.sum())), np.float32)
+            has[row, place[column[held[column]]]] = 1
+            same = np.rint(has @ has.T).astype(np.int64)
+            i, j = np.nonzero(np.triu((100 * same >= percent * (n[:, None] + n - same)) & (root[:, None] != root), 1))
+        else:
+            i = j = np.zeros(0, np.int64)
+        top, keep = {int(r): int(r) for r in root}, []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = int(root[x]), int(root[y])
+            while top[a] != a:
+                a = top[a]
+            while top[b] != b:
+                b = top[b]
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                keep.append((x, y))
+        return pa.table({"a": pa.array([node[x] for x, _ in keep], pa.int64()), "b": pa.array([node[y] for _, y in keep], pa.int64())})
+
+    return work
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of `docs` whose doc_id is among ids (doc_id, distinct). Up to `most` ids (16 bytes each) are broadcast, so that texts aren't shuffled; more are joined."""
+    few = ids.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -98,10 +138,10 @@ def _rest(rest: DataFrame, hot: DataFrame, classes: DataFrame, docs: DataFrame,
     """Links of the nodes in `rest`, met by a prefix of their sets that any link must touch: n - ceil(share * n) + 1 hashes, those known as hot last."""
     blocks = -(-rest.count() // BLOCK)
     dealt = scratch.put(rest.select("node", F.pmod(F.xxhash64("node"), F.lit(max(1, blocks))).alias("block")), "rest")
-    reps = classes.select(F.col("node").alias("doc_id"))
+    reps = classes.select(F.col("node").alias("b"))
     found = None
     for block in range(blocks):
-        own = docs.join(dealt.where(F.col("block") == block).select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        own = of_ids(docs, dealt.where(F.col("block") == block).select(F.col("node").alias("doc_id")))
         sets = scratch.put(whole_sets(own, k), f"rest-sets-{block}")
 
         def spread(batches):
@@ -138,14 +178,14 @@ def _rest(rest: DataFrame, hot: DataFrame, classes: DataFrame, docs: DataFrame,
                     if len(t):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), ids[r])), pa.array(np.full(len(t), len(s))), pa.array(t.view(np.int64))], ["b", "m", "token"])
 
-        every = docs.join(reps, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(touched, "b long, m long, token long")
+        every = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(touched, "b long, m long, token long")
         near = (F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs = prefix.join(every, "token").where(near).select("a", "b").distinct()
+        pairs = prefix.join(every, "token").where(near).select("a", "b").distinct().join(reps, "b", "left_semi").select("a", "b")
         pairs = _rooted(_rooted(pairs.withColumnRenamed("a", "node"), roots).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("b").alias("node")), roots).where("ra <> root").select("a", F.col("node").alias("b"))
         pairs = scratch.put(pairs, f"rest-pairs-{block}")
         ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        all_sets = scratch.put(whole_sets(docs.join(ends, "doc_id", "left_semi"), k), f"rest-all-{block}")
-        links = scratch.put(verified(pairs, all_sets, percent), f"rest-links-{block}")
+        all_sets = scratch.put(whole_sets(of_ids(docs, scratch.put(ends, f"rest-ends-{block}")), k), f"rest-all-{block}")
+        links = scratch.put(compared(pairs, all_sets, percent).where("linked").select("a", "b"), f"rest-links-{block}")
         found = links if found is None else found.unionAll(links)
     return found
 
@@ -168,53 +208,63 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, perce
     classes = scratch.put(classes.select(F.col("first.doc_id").alias("node"), "n", "d1", "d2", F.col("first.sketch").alias("sketch")), "classes")
 
     # Nodes that may have a link: of their sketch, as many tokens as a link implies are in other sketches too.
-    tokens = classes.select("node", "n", F.explode("sketch").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    tokens = classes.select("node", F.explode("sketch").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     least = F.floor(0.375 * F.least(F.lit(SKETCH), F.col("n")))
     hits = scratch.put(tokens.join(shared, "token"), "hits")
-    able = hits.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where((F.col("c") >= least) & (F.col("c") >= 1)).select("node")
-    rows = scratch.put(hits.join(able, "node", "left_semi"), "rows")
+    # `common`: how much a node has in common with others; the original of a family has the most
+    seen = hits.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.log2("df")).alias("common")).join(classes.select("node", "n"), "node")
+    able = scratch.put(seen.where((F.col("c") >= least) & (F.col("c") >= 1)), "able")
+    rows = scratch.put(hits.select("token", "node").join(able, "node"), "rows")
     scratch.drop("hits")
-    ends = rows.select(F.col("node").alias("doc_id")).distinct()
-    whole = scratch.put(whole_sets(docs.join(ends, "doc_id", "left_semi"), k), "whole")
+    whole = scratch.put(whole_sets(of_ids(docs, able.select(F.col("node").alias("doc_id"))), k), "whole")
 
     roots = spark.createDataFrame([], "node long, component long")
-    links = None
-    for r in range(ROUNDS):
+    links = alike = None
+    for r, order in enumerate((-F.col("common"), F.xxhash64("node").cast("double"))):
         now = scratch.put(_rooted(rows, roots), f"now-{r}")
-        pivots = scratch.put(now.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("o"), F.col("node").alias("b"), F.col("root").alias("rb"))).alias("p")).select("token", "p.b", "p.rb"), f"pivots-{r}")
+        pivots = scratch.put(now.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.xxhash64("node").alias("o2"), F.col("node").alias("b"), F.col("root").alias("rb"))).alias("p")).select("token", "p.b", "p.rb"), f"pivots-{r}")
         met = now.join(pivots, "token").where("root <> rb").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
         pairs = scratch.put(met.where(F.col("c") >= F.greatest(F.lit(1), F.floor(0.1 * F.least(F.lit(SKETCH), F.col("n"))))).select("a", "b"), f"pairs-{r}")
         if pairs.isEmpty():
             break
-        new = scratch.put(verified(pairs, whole, percent), f"links-{r}")
-        links = new if links is None else links.unionAll(new)
+        new = scratch.put(compared(pairs, whole, percent).where(F.col("share") >= ALIKE), f"alike-{r}")
+        alike = new if alike is None else alike.unionAll(new)
+        links = alike.where("linked").select("a", "b")
         roots = scratch.put(components(links, scratch, f"cc-{r}"), f"roots-{r}")
 
-    # The matrix of tokens and groups.
-    now = _rooted(rows, roots)
-    sizes = now.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("size"))
-    now = scratch.put(now.join(scratch.put(sizes, "sizes"), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))).select("token", "node", "n", "root", "part"), "grouped")
-    wide = scratch.put(now.select("token", "root").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "wide")
-    hot = wide.where(F.col("df") > HOT).select("token")
-    lost = now.join(hot, "token").groupBy("node").agg(F.count("*").alias("lost"))
-    nodes = scratch.put(now.select("node", "n", "root", "part").distinct().join(lost, "node", "left").withColumn("lost", F.coalesce("lost", F.lit(0))), "nodes")
+    # The matrix of tokens and groups: parts of components, and of the nodes that are like one pivot without a link.
+    now = _rooted(able, roots).join(roots.select("node", F.lit(True).alias("joined")), "node", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
+    if alike is not None:
+        now = now.join(alike.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("share", "b")).alias("like")), "node", "left")
+    else:
+        now = now.withColumn("like", F.lit(None).cast("long"))
+    now = scratch.put(now.withColumn("family", F.when(F.col("joined"), F.col("root")).otherwise(F.coalesce("like", "node"))).select("node", "n", "root", "joined", "family"), "families")
+    sizes = scratch.put(now.groupBy("joined", "family").agg(F.count("*").alias("size")), "sizes")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
+    now = scratch.put(now.join(sizes, ["joined", "family"]).withColumn("group", F.concat_ws(".", F.when(F.col("joined"), "c").otherwise("f"), "family", part)), "grouped")
+    held = rows.select("token", "node").join(now.select("node", "n", "family", "joined", "group"), "node")
+    wide = scratch.put(held.select("token", "joined", "family").distinct().groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > HOT), "wide")
+    hot = wide.select("token")
+    lost = held.join(hot, "token").groupBy("node").agg(F.count("*").alias("lost"))
+    nodes = scratch.put(now.join(lost, "node", "left").withColumn("lost", F.coalesce("lost", F.lit(0))), "nodes")
     size = F.least(F.lit(SKETCH), F.col("n"))
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     rest = scratch.put(nodes.where((F.col("lost") > 0) & (size - F.col("lost") < F.least(F.lit(SKETCH // 2), prefix))).select("node"), "rest-nodes")
     bound = F.greatest(F.lit(1), F.floor((size - F.col("lost")) * (0.375 - 0.69 * F.col("lost") / size)))
-    groups = scratch.put(nodes.groupBy("root", "part").agg(F.min(bound).alias("bound"), F.min("n").alias("low"), F.max("n").alias("high")), "groups")
-    matrix = now.join(wide.where(F.col("df") <= HOT).select("token"), "token").select("token", "root", "part").distinct()
-    matrix = scratch.put(matrix.join(groups, ["root", "part"]), "matrix")
-    x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("root", "part", "bound", "low", "high"))) for s in "xy")
-    sized = (100 * F.col("low_x") <= F.lit(10000 / percent) * F.col("high_y")) & (100 * F.col("low_y") <= F.lit(10000 / percent) * F.col("high_x"))
-    shares = x.join(y, "token").where((F.col("root_x") < F.col("root_y")) & sized).groupBy("root_x", "part_x", "root_y", "part_y").agg(F.count("*").alias("c"), F.min(F.least("bound_x", "bound_y")).alias("bound"))
-    opened = scratch.put(shares.where("c >= bound").select("root_x", "part_x", "root_y", "part_y"), "opened")
+    groups = scratch.put(nodes.groupBy("group").agg(F.min(bound).alias("bound"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("joined").alias("joined"), F.first("family").alias("family"), F.count("*").alias("size")), "groups")
+    matrix = scratch.put(held.join(hot, "token", "left_anti").select("token", "group").distinct().join(groups, "group"), "matrix")
+    x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "bound", "low", "high", "joined", "family", "size"))) for s in "xy")
+    sized = (100 * F.col("high_y") >= percent * F.col("low_x")) & (100 * F.col("high_x") >= percent * F.col("low_y"))
+    apart = ~(F.col("joined_x") & F.col("joined_y") & (F.col("family_x") == F.col("family_y")))
+    several = (F.col("group_x") < F.col("group_y")) | ((F.col("group_x") == F.col("group_y")) & (F.col("size_x") > 1))
+    shares = x.join(y, "token").where(several & apart & sized).groupBy("group_x", "group_y").agg(F.count("*").alias("c"), F.min(F.least("bound_x", "bound_y")).alias("bound"))
+    opened = scratch.put(shares.where("c >= bound").select("group_x", "group_y"), "opened")
     if not opened.isEmpty():
-        mx, my = (nodes.select(F.col("node").alias(e), F.col("root").alias(f"root_{s}"), F.col("part").alias(f"part_{s}"), F.col("n").alias(f"n_{s}")) for s, e in (("x", "a"), ("y", "b")))
-        near = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-        pairs = scratch.put(opened.join(mx, ["root_x", "part_x"]).join(my, ["root_y", "part_y"]).where(near).select("a", "b"), "opened-pairs")
-        new = scratch.put(verified(pairs, whole, percent), "opened-links")
+        sides = opened.select("*", F.explode(F.array_distinct(F.array("group_x", "group_y"))).alias("group"))
+        members = nodes.select("node", "root", "group").join(whole, "node")
+        tiles = sides.join(members, "group").select("group_x", "group_y", "node", "root", "n", "hashes")
+        new = scratch.put(tiles.groupBy("group_x", "group_y").applyInArrow(_solved(percent), "a long, b long"), "opened-links")
         links = new if links is None else links.unionAll(new)
     if not rest.isEmpty():
         new = _rest(rest, hot, classes, docs, roots, k, percent, scratch)
