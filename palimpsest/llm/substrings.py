@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.hashing import EXACT, U64, gram_hashes, mix, slices, word_hashes, word_spans
+from palimpsest.llm.hashing import EXACT, U64, gram_hashes, slices, word_hashes, word_spans
 from palimpsest.llm.scratch import input_bytes
 
 K = 5
@@ -38,7 +38,13 @@ ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("settled", "?")])
 
 
 def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(x.astype(np.int64).view(U64) + U64(17)) % U64(buckets)).astype(np.int64)
+    """As `_bucket`; hashes are taken as signed integers."""
+    u = x.astype(np.int64).view(U64)
+    return (u ^ (u >> U64(15)) ^ (u >> U64(31))).view(np.int64) % buckets
+
+
+def _bucket(x: Column, buckets: int) -> Column:
+    return F.pmod(x.bitwiseXOR(F.shiftrightunsigned(x, 15)).bitwiseXOR(F.shiftrightunsigned(x, 31)), F.lit(buckets))
 
 
 def _blobs(entries: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -223,16 +229,11 @@ def dedup(spark: SparkSession, documents: DataFrame, window: int = 13, k: int =
     empty table gives an empty result; other columns are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES)
+    buckets = max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES) | 1  # odd, as ids are often multiples of two
     seeds = docs.where("doc_id is not null").mapInArrow(_seeds(window, k, buckets), BLOB)
     shared = seeds.groupBy("bucket").applyInArrow(_met(buckets, False), BLOB)
 
-    def place(batches):
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False) if not b.column(0).null_count else np.array(b.column(0).fill_null(0))
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(ids, buckets)), b.column(0), b.column(1)], ["bucket", "doc_id", "text"])
-
-    texts = docs.mapInArrow(place, "bucket long, doc_id long, text string")
+    texts = docs.select(F.coalesce(_bucket(F.col("doc_id"), buckets), F.lit(0)).cast("long").alias("bucket"), "doc_id", "text")
     repeated = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_extended(window, k, buckets), BLOB)
     repeated = repeated.groupBy("bucket").applyInArrow(_met(buckets, True), BLOB)
     return texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_cut(window), RESULT)
