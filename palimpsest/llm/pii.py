@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.scratch import Scratch
+from palimpsest.llm.scratch import Scratch, free_name
 
 #: The kinds in their order, and the found kind after them.
 KINDS = ("email", "ip", "card", "phone")
@@ -186,12 +186,12 @@ def masked(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     Of spans that overlap, the one that begins first, then the longest, names the place.
     """
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spans = find(spark, documents).where(F.size("spans") > 0).groupBy("row").agg(F.first("spans").alias("__spans"))
+    row, held = free_name(documents, "row"), free_name(documents, "spans")
+    spans = find(spark, documents).where(F.size("spans") > 0).groupBy(F.col("row").alias(row)).agg(F.first("spans").alias(held))
 
     def work(batches):
         for b in batches:
-            i, j = b.schema.get_field_index("text"), b.schema.get_field_index("__spans")
+            i, j = b.schema.get_field_index("text"), b.schema.get_field_index(held)
             texts = b.column(i).to_pylist()
             for r, spans in enumerate(b.column(j).to_pylist()):
                 if spans and texts[r] is not None:
@@ -201,7 +201,7 @@ def masked(spark: SparkSession, documents: DataFrame) -> DataFrame:
                             parts += [texts[r][end : s["start"]], f"[{s['kind']}]"]
                         end = max(end, s["end"])
                     texts[r] = "".join(parts) + texts[r][end:]
-            yield b.set_column(i, "text", pa.array(texts, b.schema.field(i).type)).drop_columns(["__spans"])
+            yield b.set_column(i, "text", pa.array(texts, b.schema.field(i).type)).drop_columns([held])
 
-    marked = documents.withColumn("__row", key).join(spans.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
-    return marked.select(*documents.columns, "__spans").mapInArrow(work, documents.schema)
+    marked = documents.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(spans, row, "left")
+    return marked.select(*documents.columns, held).mapInArrow(work, documents.schema)

@@ -67,3 +67,11 @@ class Scratch:
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes behind a DataFrame, for choosing bucket counts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, in any spelling."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
