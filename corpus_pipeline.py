@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard, packing, pii, substrings, toxicity
 from palimpsest.llm.queries import remainder, table
-from palimpsest.llm.scratch import Scratch
+from palimpsest.llm.scratch import Scratch, free_name
 
 #: From this score on a document counts as toxic.
 TOXIC = 0.3
@@ -22,22 +22,23 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go. Those without a doc_id are scored as well, and go with any toxic one of them."""
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
-    bad = toxicity.score(docs, model).where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    bad = toxicity.score(docs, model).where(F.col("score") >= TOXIC).select(F.col("doc_id").alias(own := free_name(docs, "id"))).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links join, the one with the smallest doc_id stays. Those without a doc_id stay."""
     found = jaccard.near_duplicates(spark, docs)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own := free_name(docs, "id"))).distinct()
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col(own), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut. A text that loses nothing stays as it is, one that loses all is empty."""
-    found = substrings.dedup(spark, docs).where("n_removed > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.min("kept").alias("__kept"))
-    marked = docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    return marked.withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
+    own, new = free_name(docs, "id"), free_name(docs, "kept")
+    found = substrings.dedup(spark, docs).where("n_removed > 0").groupBy(F.col("doc_id").alias(own)).agg(F.min("kept").alias(new))
+    marked = docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left")
+    return marked.withColumn("text", F.coalesce(new, "text")).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
