@@ -9,14 +9,13 @@ in their sketches, since the smallest hashes of a union are a random sample of i
    only: a number of pairs in proportion to the tokens, however many nodes share
    one. Verified links make the groups, which are cut into pieces of at most
    about GROUP nodes; nodes without a link are grouped by the pivot they are like.
-   A second round chooses pivots by another order.
 2. Matrix. Each group keeps the union of its members' tokens: rows (token,
    group). Pairs of groups count the tokens they share, and only pairs whose count
    reaches the bound that a link would imply are opened, as a tile that one matrix
    product solves. Links inside a component can't change the result.
 3. Tokens that more than HOT groups' families hold are left out of the matrix,
-   and the bound falls accordingly. Nodes that keep too few tokens are compared by an
-   exact prefix of their whole set with the whole sets of all nodes, in blocks.
+   and the bound falls accordingly. Nodes that keep too few tokens are counted on
+   their whole sets against all texts, in blocks.
 
 Every link is verified on whole sets. With w distinct shingles, sketches miss a
 linked pair with a probability of at most the lower tail of Binomial(64, 0.8) at
@@ -39,8 +38,8 @@ GROUP = 64
 HOT = 48
 #: From this share on, nodes that aren't linked with a pivot count as like it.
 ALIKE = 0.3
-#: Nodes without enough usable tokens that are compared in one pass.
-BLOCK = 5_000
+#: Shingles of the nodes without enough usable tokens that are compared in one pass, 12 bytes each.
+BLOCK = 1 << 21
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -134,58 +133,51 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _rest(rest: DataFrame, hot: DataFrame, classes: DataFrame, docs: DataFrame, roots: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame | None:
-    """Links of the nodes in `rest`, met by a prefix of their sets that any link must touch: n - ceil(share * n) + 1 hashes, those known as hot last."""
-    blocks = -(-rest.count() // BLOCK)
-    dealt = scratch.put(rest.select("node", F.pmod(F.xxhash64("node"), F.lit(max(1, blocks))).alias("block")), "rest")
-    reps = classes.select(F.col("node").alias("b"))
+def _against(index: tuple[np.ndarray, ...], percent: int, k: int):
+    """Links of a block's nodes with all texts that pass: of each batch's links a spanning forest."""
+    tokens, first, owner, node, n = index
+
+    def work(batches):
+        for b in batches:
+            ids, top, keep = b.column(0).to_pylist(), {}, []
+
+            def find(x, top=top):
+                while top.setdefault(x, x) != x:
+                    x = top[x]
+                return x
+
+            for r, s in shingle_sets(b.column(1), k):
+                at = np.searchsorted(tokens, s)
+                at[at == len(tokens)] = 0
+                at = at[tokens[at] == s] if len(tokens) else at[:0]
+                if not len(at):
+                    continue
+                size = first[at + 1] - first[at]
+                each = np.repeat(first[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                same = np.bincount(owner[each], minlength=len(node))
+                for j in np.flatnonzero(100 * same >= percent * (n + len(s) - same)).tolist():
+                    x, y = find(int(node[j])), find(ids[r])
+                    if x != y:
+                        top[max(x, y)] = min(x, y)
+                        keep.append((int(node[j]), ids[r]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], ["a", "b"])
+
+    return work
+
+
+def _rest(rest: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """All links of the nodes in `rest` (node, n): their whole sets, in blocks of about BLOCK shingles, are an index that every text is counted against."""
+    blocks = max(1, -(-(rest.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    dealt = scratch.put(rest.select("node", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")), "rest")
     found = None
     for block in range(blocks):
-        own = of_ids(docs, dealt.where(F.col("block") == block).select(F.col("node").alias("doc_id")))
-        sets = scratch.put(whole_sets(own, k), f"rest-sets-{block}")
-
-        def spread(batches):
-            for b in batches:
-                for node, n, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, n)), pa.array(np.frombuffer(h, np.int64))], ["a", "n", "token"])
-
-        tokens = sets.mapInArrow(spread, "a long, n long, token long").join(hot.select("token", F.lit(True).alias("hot")), "token", "left")
-        order = F.struct(F.coalesce("hot", F.lit(False)).alias("late"), F.col("token").alias("token"))
-        prefix = tokens.groupBy("a", "n").agg(F.sort_array(F.collect_list(order)).alias("o")).select("a", "n", F.explode(F.expr(f"slice(o, 1, n - cast(ceil({percent} * n / 100) as int) + 1)")).alias("o")).select("a", "n", "o.token")
-        prefix = scratch.put(prefix, f"rest-prefix-{block}")
-
-        # all sets, reduced to the prefixes' tokens by a bit map: BLOCK nodes' prefixes, so of bounded size
-        bits = 1 << max(16, min(27, int(prefix.count() * 16).bit_length()))
-
-        def marks(batches, bits=bits):
-            held = np.zeros(bits, bool)
-            for b in batches:
-                held[mix(b.column(0).to_numpy().view(U64)) % U64(bits)] = True
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
-
-        at = np.array([r[0] for r in prefix.select("token").mapInArrow(marks, "at long").distinct().collect()], np.int64)
-        map_ = np.zeros(bits, bool)
-        map_[at] = True
-        packed = docs.sparkSession.sparkContext.broadcast(np.packbits(map_).tobytes())
-
-        def touched(batches, bits=bits, packed=packed):
-            held = np.unpackbits(np.frombuffer(packed.value, np.uint8), count=bits).astype(bool)
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                for r, s in shingle_sets(b.column(1), k):
-                    t = s[held[mix(s) % U64(bits)]]
-                    if len(t):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), ids[r])), pa.array(np.full(len(t), len(s))), pa.array(t.view(np.int64))], ["b", "m", "token"])
-
-        every = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(touched, "b long, m long, token long")
-        near = (F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs = prefix.join(every, "token").where(near).select("a", "b").distinct().join(reps, "b", "left_semi").select("a", "b")
-        pairs = _rooted(_rooted(pairs.withColumnRenamed("a", "node"), roots).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("b").alias("node")), roots).where("ra <> root").select("a", F.col("node").alias("b"))
-        pairs = scratch.put(pairs, f"rest-pairs-{block}")
-        ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        all_sets = scratch.put(whole_sets(of_ids(docs, scratch.put(ends, f"rest-ends-{block}")), k), f"rest-all-{block}")
-        links = scratch.put(compared(pairs, all_sets, percent).where("linked").select("a", "b"), f"rest-links-{block}")
+        held = whole_sets(of_ids(docs, dealt.where(F.col("block") == block).select(F.col("node").alias("doc_id"))), k).collect()  # of the block's size
+        sets = [np.frombuffer(r["hashes"], U64) for r in held]
+        tokens, place, count = np.unique(np.concatenate([*sets, np.zeros(0, U64)]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[np.argsort(place, kind="stable")]
+        index = (tokens, np.concatenate(([0], np.cumsum(count))), owner, np.array([r["node"] for r in held], np.int64), np.array([len(x) for x in sets], np.int64))
+        links = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_against(index, percent, k), "a long, b long")
+        links = scratch.put(links, f"rest-links-{block}")
         found = links if found is None else found.unionAll(links)
     return found
 
@@ -219,26 +211,17 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, perce
     scratch.drop("hits")
     whole = scratch.put(whole_sets(of_ids(docs, able.select(F.col("node").alias("doc_id"))), k), "whole")
 
-    roots = spark.createDataFrame([], "node long, component long")
-    links = alike = None
-    for r, order in enumerate((-F.col("common"), F.xxhash64("node").cast("double"))):
-        now = scratch.put(_rooted(rows, roots), f"now-{r}")
-        pivots = scratch.put(now.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.xxhash64("node").alias("o2"), F.col("node").alias("b"), F.col("root").alias("rb"))).alias("p")).select("token", "p.b", "p.rb"), f"pivots-{r}")
-        met = now.join(pivots, "token").where("root <> rb").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-        pairs = scratch.put(met.where(F.col("c") >= F.greatest(F.lit(1), F.floor(0.1 * F.least(F.lit(SKETCH), F.col("n"))))).select("a", "b"), f"pairs-{r}")
-        if pairs.isEmpty():
-            break
-        new = scratch.put(compared(pairs, whole, percent).where(F.col("share") >= ALIKE), f"alike-{r}")
-        alike = new if alike is None else alike.unionAll(new)
-        links = alike.where("linked").select("a", "b")
-        roots = scratch.put(components(links, scratch, f"cc-{r}"), f"roots-{r}")
+    best = F.min(F.struct((-F.col("common")).alias("o"), F.xxhash64("node").alias("o2"), F.col("node").alias("b"))).alias("p")
+    pivots = scratch.put(rows.groupBy("token").agg(best).select("token", "p.b"), "pivots")
+    met = rows.join(pivots, "token").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    pairs = met.where(F.col("c") >= F.greatest(F.lit(1), F.floor(0.1 * F.least(F.lit(SKETCH), F.col("n"))))).select("a", "b")
+    alike = scratch.put(compared(scratch.put(pairs, "pairs"), whole, percent).where(F.col("share") >= ALIKE), "alike")
+    links = alike.where("linked").select("a", "b")
+    roots = scratch.put(components(links, scratch, "cc-0"), "roots-0")
 
     # The matrix of tokens and groups: parts of components, and of the nodes that are like one pivot without a link.
     now = _rooted(able, roots).join(roots.select("node", F.lit(True).alias("joined")), "node", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
-    if alike is not None:
-        now = now.join(alike.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("share", "b")).alias("like")), "node", "left")
-    else:
-        now = now.withColumn("like", F.lit(None).cast("long"))
+    now = now.join(alike.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("share", "b")).alias("like")), "node", "left")
     now = scratch.put(now.withColumn("family", F.when(F.col("joined"), F.col("root")).otherwise(F.coalesce("like", "node"))).select("node", "n", "root", "joined", "family"), "families")
     sizes = scratch.put(now.groupBy("joined", "family").agg(F.count("*").alias("size")), "sizes")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
@@ -250,7 +233,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, perce
     nodes = scratch.put(now.join(lost, "node", "left").withColumn("lost", F.coalesce("lost", F.lit(0))), "nodes")
     size = F.least(F.lit(SKETCH), F.col("n"))
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    rest = scratch.put(nodes.where((F.col("lost") > 0) & (size - F.col("lost") < F.least(F.lit(SKETCH // 2), prefix))).select("node"), "rest-nodes")
+    rest = scratch.put(nodes.where((F.col("lost") > 0) & (size - F.col("lost") < F.least(F.lit(SKETCH // 2), prefix))).select("node", "n"), "rest-nodes")
     bound = F.greatest(F.lit(1), F.floor((size - F.col("lost")) * (0.375 - 0.69 * F.col("lost") / size)))
     groups = scratch.put(nodes.groupBy("group").agg(F.min(bound).alias("bound"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("joined").alias("joined"), F.first("family").alias("family"), F.count("*").alias("size")), "groups")
     matrix = scratch.put(held.join(hot, "token", "left_anti").select("token", "group").distinct().join(groups, "group"), "matrix")
@@ -265,11 +248,9 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, perce
         members = nodes.select("node", "root", "group").join(whole, "node")
         tiles = sides.join(members, "group").select("group_x", "group_y", "node", "root", "n", "hashes")
         new = scratch.put(tiles.groupBy("group_x", "group_y").applyInArrow(_solved(percent), "a long, b long"), "opened-links")
-        links = new if links is None else links.unionAll(new)
+        links = links.unionAll(new)
     if not rest.isEmpty():
-        new = _rest(rest, hot, classes, docs, roots, k, percent, scratch)
-        links = new if links is None else links.unionAll(new)
-    if links is not None:
-        roots = scratch.put(components(links, scratch, "cc"), "roots")
+        links = links.unionAll(_rest(rest, docs, k, percent, scratch))
+    roots = scratch.put(components(links, scratch, "cc"), "roots")
     told = scratch.put(_rooted(classes.select("node", "n", "d1", "d2"), roots).select("n", "d1", "d2", "root"), "told")
     return sets.select("doc_id", "n", "d1", "d2").join(told, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
