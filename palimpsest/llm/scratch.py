@@ -47,10 +47,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+#: Rows of an Arrow batch: at Spark's default of 10,000, batches of texts take hundreds of MB of an executor besides its heap.
+BATCH_ROWS = 2_000
+
+
 class Scratch:
-    """Tables of one operator's run. ``put`` writes one, ``drop`` deletes one early."""
+    """Tables of one operator's run. ``put`` writes one, ``drop`` deletes one early. Sets the session's Arrow batches to BATCH_ROWS rows at most."""
 
     def __init__(self, spark: SparkSession, name: str):
+        if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         _made.append((spark, self.root))
