@@ -1,4 +1,4 @@
-"""The queries of this folder, with production parameters, and SQL where it can say the same."""
+"""The queries of this folder, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard, langid, lattice, packing, pieces, pii, substrings, toxicity, urls, voronoi
+from palimpsest.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
