@@ -3,7 +3,8 @@
 Each language has a raw-content zstandard dictionary of its own: passages of
 training texts, at most `per_text` characters of each and `dictionary_bytes` in
 all. A text, lower-cased and reduced to its words, is encoded whole with every
-dictionary; the smallest size wins, and a narrow margin is reported as rejected.
+dictionary, in blocks so short that each can refer to all of it; the smallest sum
+of sizes wins, and a narrow margin is reported as rejected.
 The fast strategy with short matches suits this best: it seldom learns from the
 text itself, so the size tells how much of it the dictionary knows.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+#: Bytes that are encoded at once: well below the window, past which a coder forgets its dictionary.
+BLOCK = 1 << 16
 
 
 def letters(text: str | None) -> str:
@@ -60,7 +63,8 @@ def classify(text: str | None, by: dict, margin: float = 0.01) -> tuple[str, flo
     data = letters(text).encode()
     if not data or not by:
         return UNDETERMINED, 0.0, True
-    sizes = sorted((len(c.compress(data)), k) for k, c in by.items())
+    blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, c in by.items())
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     gap = 1 - sizes[0][0] / sizes[1][0]

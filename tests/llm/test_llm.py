@@ -248,6 +248,18 @@ def test_language(spark):
     assert langid.classify("words here", {}) == ("und", 0.0, True)
 
 
+def test_language_of_long_texts():
+    rng = random.Random(3)
+    stock = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(3, 9))) for _ in range(600)] for k, a in (("a", "abcdefghijklm"), ("b", "hijklmnopqrstu"), ("-", "nopqrstuvwxyz"))}
+    text = lambda k, n: " ".join(rng.choice(stock[k]) for _ in range(n))
+    by = langid.coders({k: text(k, 4000).encode()[:16384] for k in "ab"})
+    start = text("b", 23_000)
+    assert len(start) > 140_000 and langid.classify(f"{start} {text('a', 100_000)}", by)[0] == "a"
+    assert langid.classify(f"{text('-', 23_000)} {text('a', 17_000)}", by)[0::2] == ("a", False)
+    short, long = (langid.classify(text("a", n), by) for n in (8_000, 300_000))
+    assert long[0] == "a" and not long[2] and abs(short[1] - long[1]) < 0.01
+
+
 # -- 3, 9 --------------------------------------------------------------------------
 
 
