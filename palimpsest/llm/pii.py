@@ -139,12 +139,14 @@ def scan(docs: DataFrame) -> DataFrame:
 def bootstrap(seen: DataFrame, scratch: Scratch, rounds: int = 3, trust: float = 0.6, support: int = 5) -> tuple[DataFrame, DataFrame]:
     """Trusted patterns (pattern, confidence) and instances (instance, score) of the graph of `seen` (instance, seed, pattern).
 
+    An instance without a word before it has a null pattern, which tells only whether it is a seed.
     A pattern is trusted if its confidence reaches `trust` with at least `support`
     distinct known instances. Confidence is what its instances score, over their
     number plus one. Ties don't arise: all that reach the threshold are trusted.
     """
     edges = scratch.put(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     known = scratch.put(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score")), "known-0")
+    edges = edges.where("pattern is not null")
     for r in range(rounds):
         scored = edges.select("pattern", "instance").join(known, "instance")
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum((F.col("score") > 0).cast("int")).alias("backed"))
@@ -167,10 +169,10 @@ def find(spark: SparkSession, documents: DataFrame, rounds: int = 3, trust: floa
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.put(scan(docs), "rows")
     seen = scratch.put(rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*").distinct(), "seen")
-    by_pattern = seen.select("row", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
-    patterns, known = bootstrap(by_pattern.select("pattern", "instance", "seed"), scratch, rounds, trust, support)
-    fresh = by_pattern.where("not seed")
-    hits = fresh.join(patterns, "pattern").select("row", "start", "end").unionAll(fresh.join(known, "instance").select("row", "start", "end"))
+    patterns, known = bootstrap(seen.select("instance", "seed", F.explode_outer("patterns").alias("pattern")), scratch, rounds, trust, support)
+    fresh = seen.where("not seed")
+    led = fresh.select("row", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern").select("row", "start", "end")
+    hits = led.unionAll(fresh.join(known, "instance").select("row", "start", "end"))
     found = hits.distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(FOUND).alias("kind"), "start", "end"))).alias("found"))
     empty = F.array().cast("array<struct<kind: string, start: long, end: long>>")
     return rows.select("row", "doc_id", "base").join(found, "row", "left").select("doc_id", "base", F.concat("base", F.coalesce("found", empty)).alias("spans"), "row")

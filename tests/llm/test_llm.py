@@ -415,6 +415,21 @@ def test_bootstrap(spark):
     assert pii.find(spark, df.where("false")).collect() == [] and pii.masked(spark, df.where("false")).collect() == []
 
 
+def test_bootstrap_of_first_words(spark):
+    rng = random.Random(9)
+    card = lambda: next(d for d in iter(lambda: "".join(rng.choice("0123456789") for _ in range(16)), "") if ("card", 0, 16) in plain_spans(d))
+    rows = [(i, f"{words(rng, 8)} my account number {card()} {words(rng, 8)}") for i in range(12)]
+    first, unled = card(), card()
+    run = next(f"{unled} {c}" for c in "0123456789" if plain_spans(f"{unled} {c}") == [])  # of 17 digits, which isn't a card
+    rows += [(50, f"{words(rng, 8)} my account number ZX-99120-77"), (51, "ZX-99120-77 comes first"), (52, "ZX-99120-77"), (53, "AB-11111-22 isn't known"), (54, f"{first} is a seed"), (55, unled), (56, run), (57, f"and {run}")]
+    df = table(spark, rows)
+    by = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(spark, df).collect()}
+    assert by[51] == by[52] == [("id", 0, 11)] and by[53] == [] and by[54] == by[55] == [("card", 0, 16)]
+    assert by[56] == [("id", 0, 16)] and by[57] == [("id", 4, 20)]  # known by the seed in 55, which has no pattern
+    hidden = {r["doc_id"]: r["text"] for r in pii.masked(spark, df).collect()}
+    assert hidden[51] == "[id] comes first" and hidden[52] == "[id]"
+
+
 # -- 8 -----------------------------------------------------------------------------
 
 
