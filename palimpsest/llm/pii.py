@@ -12,7 +12,7 @@ introduce, and what such instances look like elsewhere, is marked with the kind
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +79,12 @@ def _plain(word: str) -> str:
     return word.strip(_EDGE).lower() or word
 
 
+def _key(word: str) -> tuple[str, int]:
+    """The letters before the = or : of a word and where its value begins, or an empty key and 0."""
+    cut = max(word.find("="), word.find(":"))
+    return (_plain(word[:cut]), cut + 1) if cut > 0 and word[:cut].strip(_EDGE).isalpha() else ("", 0)
+
+
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, instance, whether it is a seed, its patterns): the base spans and the other identifier-like words."""
     if not base and not _DIGIT.search(text):
@@ -86,22 +92,20 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
     words = [m.span() for m in _WORD.finditer(text)]
     starts = [a for a, _ in words]
 
-    def before(a: int, key: str = "") -> list[str]:
-        i = bisect_left(starts, a)
+    def before(a: int, key: str) -> list[str]:
         if key:
             return [f"{key}|"]
+        i = bisect_right(starts, a) - 1  # the word that holds a
         left = [_plain(text[x:y]) for x, y in words[max(0, i - 2) : i]]
         return [f"{left[-1]}|", f"{' '.join(left)}|"] if len(left) == 2 else [f"{w}|" for w in left]
 
-    out = [(a, b, text[a:b].lower(), True, before(a)) for _, a, b in base]
+    out = [(a, b, text[a:b].lower(), True, before(a, _key(text[starts[bisect_right(starts, a) - 1] : a])[0])) for _, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     for a, b in words:
         word = text[a:b]
         if not _DIGIT.search(word):
             continue
-        cut = max(word.find("="), word.find(":"))
-        key = _plain(word[:cut]) if cut > 0 and word[:cut].strip(_EDGE).isalpha() else ""
-        lead = cut + 1 if key else 0
+        key, lead = _key(word)
         value = word[lead:]
         x = a + lead + len(value) - len(value.lstrip(_EDGE))
         value = value.strip(_EDGE)

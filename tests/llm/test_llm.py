@@ -430,6 +430,23 @@ def test_bootstrap_of_first_words(spark):
     assert hidden[51] == "[id] comes first" and hidden[52] == "[id]"
 
 
+def test_patterns_of_seeds():
+    told = lambda text: [(text[a:b], p) for a, b, _, seed, p in pii.instances(text, pii.base_spans(text)) if seed]
+    assert told("please contact <foo@x.com> now") == [("foo@x.com", ["contact|", "please contact|"])]
+    assert told("call me (+49 30 1234567)") == [("+49 30 1234567", ["me|", "call me|"])]
+    assert told("its ip=10.0.0.1 or IP:10.0.0.2:80") == [("10.0.0.1", ["ip|"]), ("10.0.0.2", ["ip|"])]
+    assert told("mail foo@x.com") == [("foo@x.com", ["mail|"])] and told("<foo@x.com>") == [("foo@x.com", [])]
+    assert told("a b x9=(1.2.3.4") == [("1.2.3.4", ["b|", "a b|"])]
+
+
+def test_bootstrap_from_bracketed_seeds(spark):
+    rng = random.Random(9)
+    rows = [(i, f"{words(rng, 4)} write to contact <p{i}@mail.com>, {words(rng, 4)}") for i in range(8)] + [(20 + i, f"{words(rng, 4)} host=10.0.{i}.7") for i in range(8)]
+    rows += [(50, "write to contact ZX-99120-77 today"), (51, "on host=node-4471-b today")]
+    by = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find(spark, table(spark, rows)).collect()}
+    assert by[50] == by[51] == ["id"] and by[0] == ["email"] and by[20] == ["ip"]
+
+
 # -- 8 -----------------------------------------------------------------------------
 
 
