@@ -56,7 +56,8 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
     Queries are the rows for which `is_query` (over vec_id) holds; candidates are
     all rows with another vec_id and equally many components. Fewer than k
     candidates are all returned, and an empty table gives none. Rows without a
-    vec_id take no part; rows that repeat one are candidates each.
+    vec_id take no part; rows that repeat one are candidates each, and if they
+    are queries, the pairs of all of them are ranked together, as in the SQL.
     """
     scratch = Scratch(spark, "voronoi")
     rows = scratch.put(quantized(vectors, scale), "rows")
@@ -101,7 +102,8 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
         length, dots = np.sqrt((q**2).sum(1)), q @ pivots[d][names].T
         least = dots[:, of] - length[:, None] * far
         slack = 1e-9 * (1 + length * (1 + np.abs(pivots[d]).max(initial=0)) * (d + 1))
-        floor = np.sort(least, 1)[:, -(k + 1)] - slack if least.shape[1] > k else np.full(len(q), -np.inf)
+        need, most = k + table["own"].to_numpy(), least.shape[1]  # the query's own rows may be among the best, and aren't candidates
+        floor = np.where(need <= most, np.sort(least, 1)[np.arange(len(q)), most - np.minimum(need, most)] - slack, -np.inf)
         best = dots + length[:, None] * radius
         out: tuple[list, ...] = ([], [], [], [], [])
         for j in np.flatnonzero((best >= floor[:, None]).any(0)):
@@ -116,7 +118,9 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
         return pa.table({"dim": table["dim"][:1], "cell": table["cell"][:1], "s_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "s": pa.array([b"".join(table["v"].to_pylist())], pa.binary())})
 
     placed = dealt.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.col("tiles")))
-    routed = placed.where(is_query).select("vec_id", "dim", "cell", "tile", "v").groupBy("dim", "cell", "tile").applyInArrow(route, "dim long, cell long, q_ids binary, floors binary, q binary")
+    repeated = dealt.where(is_query).groupBy("vec_id", "dim").agg(F.count("*").alias("own")).where("own > 1")
+    asked = placed.where(is_query).join(repeated, ["vec_id", "dim"], "left").select("vec_id", "dim", "cell", "tile", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    routed = asked.groupBy("dim", "cell", "tile").applyInArrow(route, "dim long, cell long, q_ids binary, floors binary, q binary")
     tiled = placed.groupBy("dim", "cell", "tile").applyInArrow(tile, "dim long, cell long, s_ids binary, s binary")
 
     def solve(batches):

@@ -295,6 +295,22 @@ def test_search(spark, vectors, monkeypatch):
     assert voronoi.search(spark, df.where("false"), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("times", [2, 8])
+def test_search_with_repeated_queries(spark, times, monkeypatch):
+    monkeypatch.setattr(voronoi, "TILE", 64)
+    # ids whose hashes are so small that their vectors are pivots, and bound themselves tightly
+    own = [r["i"] for r in spark.range(1, 5000).select((50 * F.col("id")).alias("i")).orderBy(F.xxhash64("i")).limit(2).collect()]
+    x = np.random.default_rng(3).standard_normal((700, 16))
+    rows = [(50 * i + 1, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    rows += [(i, [float(10 * c) for c in x[j]], 1) for j, i in enumerate(own) for _ in range(times)]
+    able = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, _ in rows]
+    got = defaultdict(list)
+    for r in voronoi.search(spark, spark.createDataFrame(rows, EMB), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = {q: [(s, -p) for p, s in sorted((-int(v @ u), s) for i, v in able if i == q for s, u in able if s != q)[:5]] for q in own}
+    assert dict(got) == want
+
+
 def test_lattice_decoding():
     rng = np.random.default_rng(0)
     z = 3 * rng.standard_normal((400, 8))
