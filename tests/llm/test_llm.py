@@ -340,6 +340,18 @@ def test_near_vectors(spark, vectors):
     assert lattice.near_duplicates(spark, df.where("false")).collect() == []
 
 
+def test_near_vectors_of_a_small_label(spark):
+    rng = np.random.default_rng(2)
+    x, y = (rng.standard_normal((3500, 64)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * y  # at the threshold, where most is missed
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert lattice.near_duplicates(spark, df).where("n_links > 0").count() >= 0.999 * len(rows)
+
+
 # -- 5 -----------------------------------------------------------------------------
 
 
