@@ -324,6 +324,21 @@ def test_spans_and_subsections(spark):
     assert spans == [("a", False, []), ("b", False, ["Bold"]), ("pg", True, [])]
 
 
+def test_views_of_deep_documents_and_cycles(spark):
+    d = Doc()
+    for kind, shape in (("p", PAGE), ("c", CHAIN)):
+        d.text(f"{kind}70")
+        for i in reversed(range(70)):
+            d.list(f"{kind}{i}", shape, f"{kind}{i + 1}")
+    d.list("u", CHAIN, d.text("s"), "v")
+    d.list("v", CHAIN, "u", d.text("t"))
+    nodes, edges = d.frames(spark)
+    assert pairs(view.subsections(nodes, edges, roots(spark, "p0")), "root", "id") == {("p0", "p70")}
+    assert pairs(view.sections(nodes, edges, roots(spark, "p0")), "root", "start") == {("p0", "p70")}
+    found = view.spans(nodes, edges, roots(spark, "c0", "u"))
+    assert found.count() == 3 and pairs(found, "root", "id") == {("c0", "c70"), ("u", "s"), ("u", "t")}
+
+
 def test_tile_branches(spark):
     d = Doc()
     d.list("p1", PAGE, d.text("A"), d.text("B"), d.text("C"))
