@@ -45,7 +45,11 @@ def key_of(url: Column) -> Column:
 
 
 def named_urls(html: Column, url: Column) -> Column:
-    """Array of the URLs that a page's canonical links and meta refreshes name, made absolute."""
+    """Array of the URLs that a page's canonical links and meta refreshes name, made absolute.
+
+    Limits: ./ and ../ segments stay as they are, so such a target is a URL of its
+    own; base elements and entities other than &amp; aren't read.
+    """
     visible = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
     tags = F.regexp_extract_all(visible, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
 
