@@ -25,14 +25,14 @@ _P = int(_rng.integers(1, 2**63, dtype=U64)) * 8 + 5 & (2**64 - 1)
 STEP = _rng.integers(1, 2**64, 64, dtype=U64) | U64(1)
 _powers: dict[str, np.ndarray] = {}
 
-#: Bytes of text handled at once: the work arrays take about 50 times as much.
+#: Bytes of text handled at once: the work arrays take about 50 times as much. A longer text is hashed in parts.
 SLICE = 1 << 19
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i for i < n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, 2 * SLICE)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """P**i and P**-i for all i that a part of a text needs."""
+    if not _powers:
+        n = 2 * SLICE + 1
         with np.errstate(over="ignore"):
             for key, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
                 a = np.full(n, base, U64)
@@ -90,12 +90,33 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
+def _raw_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The polynomials of ranges of at most 2 * SLICE bytes of data, not mixed yet."""
+    up, down = powers()
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A hash per word. Data of any length are worked on in parts, so that only 8 bytes a word are held besides."""
     with np.errstate(over="ignore"):
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts])
+        if len(data) <= 2 * SLICE:
+            return mix(_raw_hashes(data, starts, ends, table))
+        out = np.zeros(len(starts), U64)
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + 2 * SLICE, "right")))
+            a, b = int(starts[i]), int(ends[j - 1])
+            if b - a <= 2 * SLICE:
+                out[i:j] = _raw_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a, table)
+            else:  # one word of several parts
+                for c in range(a, b, SLICE):
+                    d = min(c + SLICE, b)
+                    part = _raw_hashes(data[c:d], np.array([0]), np.array([d - c]), table)
+                    out[i] += part[0] * U64(pow(_P, c - a, 2**64))
+            i = j
+        return mix(out)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
