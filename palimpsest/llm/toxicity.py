@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import hashing as H
-from palimpsest.llm.scratch import Scratch
+from palimpsest.plans.scratch import Scratch
 
 #: Look-alike characters and the letters they stand for, second-person pronouns of the usual languages, and marks that hide letters.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -61,8 +61,32 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _byte_counts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """Per text: letters, capitals, digits, marks, exclamation marks, hiding marks and letters that repeat the two before them."""
+    upper = (data >= 65) & (data <= 90)
+    letter = upper | ((data >= 97) & (data <= 122)) | (data >= 128)
+    digit = (data >= 48) & (data <= 57)
+    run = np.zeros(len(data), bool)
+    run[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
+    flags = (letter, upper, digit, ~letter & ~digit & ~H.SPACE[data], data == 33, np.isin(data, np.frombuffer(MASKS, np.uint8)), run)
+    if len(offs) == 2:
+        return [np.array([float(np.count_nonzero(f))]) for f in flags]
+    return [_sums(f, offs) for f in flags]
+
+
+def _capitals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Capitals per word."""
+    total = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data >= 65) & (data <= 90), out=total[1:])
+    return total[ends] - total[starts]
+
+
 def features(texts, lexicon: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """A row of FEATURES per text, whole texts; null and empty texts give zeros."""
+    """A row of FEATURES per text, whole texts; null and empty texts give zeros.
+
+    A text longer than a slice is a slice of its own; its bytes are counted in
+    parts that overlap by two bytes, which only runs look back over.
+    """
     out = [np.zeros((0, len(FEATURES)))]
     for _, _, data, offs in H.slices(texts):
         starts, ends, at = H.word_spans(data, offs)
@@ -76,19 +100,30 @@ def features(texts, lexicon: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.nd
         for d in range(1, 4):  # a pronoun within three words
             close[d:] |= you[:-d]
             close[:-d] |= you[d:]
-        counts = [_sums(x, at) for x in levels]
-        upper = (data >= 65) & (data <= 90)
-        letter = upper | ((data >= 97) & (data <= 122)) | (data >= 128)
-        digit = (data >= 48) & (data <= 57)
-        mark = ~letter & ~digit & ~H.SPACE[data]
-        masked = np.isin(data, np.frombuffer(MASKS, np.uint8))
-        run = np.zeros(len(data), bool)
-        run[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
-        caps = np.zeros(len(data) + 1)
-        np.cumsum(upper, out=caps[1:])
-        shout = (ends - starts >= 3) & (caps[ends] - caps[starts] >= 0.8 * (ends - starts))
-        letters = np.maximum(_sums(letter, offs), 1)
-        rows = [np.diff(at), *counts, *(c / n_words for c in counts), _sums(hidden, at), _sums((levels[0] | levels[1]) & close, at), _sums(you, at) / n_words, _sums(upper, offs) / letters, _sums(shout, at) / n_words, _sums(mark, offs) / n_bytes, _sums(data == 33, offs) / n_bytes, _sums(masked, offs) / n_bytes, _sums(digit, offs) / n_bytes, _sums(run, offs) / n_bytes, letters / n_words]
+        if len(offs) == 2 and len(data) > 2 * H.SLICE:
+            counts = [np.zeros(1) for _ in range(7)]
+            for a in range(0, len(data), H.SLICE):
+                back = min(a, 2)
+                own, before = (_byte_counts(x, np.array([0, len(x)])) for x in (data[a - back : a + H.SLICE], data[a - back : a]))
+                counts = [c + x - y for c, x, y in zip(counts, own, before, strict=True)]
+        else:
+            counts = _byte_counts(data, offs)
+        letters, upper, digits, marks, bangs, masks, runs = counts
+        shout = (ends - starts >= 3) & (_capitals(data, starts, ends) >= 0.8 * (ends - starts))
+        held = [_sums(x, at) for x in levels]
+        letters = np.maximum(letters, 1)
+        rows = [
+            np.diff(at),
+            *held,
+            *(c / n_words for c in held),
+            _sums(hidden, at),
+            _sums((levels[0] | levels[1]) & close, at),
+            _sums(you, at) / n_words,
+            upper / letters,
+            _sums(shout, at) / n_words,
+            *(c / n_bytes for c in (marks, bangs, masks, digits, runs)),
+            letters / n_words,
+        ]
         out.append(np.stack(rows, 1).astype(np.float64))
     return np.concatenate(out)
 
@@ -208,47 +243,72 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, where: Column, max_rows: int = 20_000, lexicon_words: int = 600) -> Model:
     """Fits on the labelled rows that `where` (over doc_id) keeps, of which about `max_rows` at most are drawn by hashed id.
 
-    Repeated labels of a doc_id count once, as toxic if any says so. Without
-    labels of both kinds the model is a constant.
+    A quarter of the drawn ids is set aside before anything is learned: the
+    lexicon and the trees come from the others, the calibration from these. With
+    too few rows for that, calibration uses all of them again. Repeated labels of
+    a doc_id count once, as toxic if any says so; of the texts that repeat a
+    doc_id, one is drawn. Without labels of both kinds the model is a constant.
     """
     scratch = Scratch(spark, "toxicity")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(where & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(where & F.col("toxic").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     n = known.count()
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     drawn = known.where(lot < int((1 << 40) * min(1.0, max_rows / max(n, 1))))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = scratch.put(texts.join(F.broadcast(drawn), "doc_id").where("text is not null").withColumn("toxic", F.col("toxic").cast("long")), "sample")  # max_rows ids: bounded
-    totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    n, bad = totals["n"], totals["toxic"] or 0
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = texts.join(F.broadcast(drawn), "doc_id")  # max_rows ids: bounded
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 0
+    sample = scratch.put(sample.select("doc_id", F.col("t.text").alias("text"), "toxic", aside.alias("aside")), "sample")
+    totals = {r["aside"]: (r["n"], r["toxic"]) for r in sample.groupBy("aside").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).collect()}
+    n, bad = (sum(x) for x in zip(*totals.values(), (0, 0), strict=True))
     if not 0 < bad < n:
         return Model((np.zeros(0, np.uint64),) * 3, None, (np.zeros(1), np.array([float(bad) / n if n else 0.0])))
-    rate = F.col("toxic") / F.col("n")
-    z = (F.col("toxic") - F.col("n") * (bad / n)) / F.sqrt(F.col("n") * (bad / n) * (1 - bad / n))
-    top = _word_counts(sample).where((F.col("n") >= 4) & (z >= 3)).select("word", rate.alias("rate"), z.alias("z")).orderBy(F.desc("z"), "word").limit(lexicon_words).collect()
-    level = lambda lo, hi: np.sort(np.array([r["word"] for r in top if lo <= (r["rate"] - bad / n) / (1 - bad / n) < hi], np.int64).view(np.uint64))
+    split = n >= 200 and all(0 < t < m for m, t in totals.values()) and len(totals) == 2
+    if split:
+        n, bad = totals[False]
+    p = bad / n
+    z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
+    counted = _word_counts(sample.where("not aside") if split else sample).where((F.col("n") >= 4) & (z >= 3))
+    top = counted.select("word", (F.col("toxic") / F.col("n")).alias("rate"), z.alias("z")).orderBy(F.desc("z"), "word").limit(lexicon_words).collect()
+
+    def level(lo: float, hi: float) -> np.ndarray:
+        """The words whose share of toxic texts lies so far between the mean and one."""
+        return np.sort(np.array([r["word"] for r in top if lo <= (r["rate"] - p) / (1 - p) < hi], np.int64).view(np.uint64))
+
     lexicon = (level(0.5, 2), level(0.25, 0.5), level(0, 0.25))
 
     def work(batches):
         for b in batches:
             x = features(b.column(1), lexicon)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            row = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), row], ["doc_id", "toxic", "aside", "x"])
 
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(work, "doc_id long, toxic long, x array<double>").orderBy("doc_id").toPandas()
-    x, y = np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(np.float64)
-    aside = np.arange(len(y)) % 4 == 0
-    if len(y) < 200 or y[aside].sum() in (0, aside.sum()) or y[~aside].sum() in (0, (~aside).sum()):
-        aside = np.ones(len(y), bool)  # too few rows to keep some for the calibration
+    found = sample.select("doc_id", "text", "toxic", "aside").mapInArrow(work, "doc_id long, toxic long, aside boolean, x array<double>")
+    rows = found.orderBy("doc_id").toPandas()  # max_rows rows of len(FEATURES) numbers
+    x, y, kept = np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(np.float64), rows["aside"].to_numpy(bool)
+    if not split:
         trees = Boosted(rounds=20, depth=2).fit(x, y)
-    else:
-        trees = Boosted().fit(x[~aside], y[~aside])
-    return Model(lexicon, trees, isotonic(trees.raw(x[aside]), y[aside]))
+        return Model(lexicon, trees, isotonic(trees.raw(x), y))
+    trees = Boosted().fit(x[~kept], y[~kept])
+    return Model(lexicon, trees, isotonic(trees.raw(x[kept]), y[kept]))
+
+
+def scored(model: Model, text: Column) -> Column:
+    """The score of a text column, row by row: other columns of the row stay in the JVM."""
+
+    @F.arrow_udf("double")
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(texts))
+
+    return work(text.cast("string"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score: one row per row of `docs`, each by its whole text alone; null and empty texts are scored as having no words."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(model, F.col("text")).alias("score"))
 
-    def work(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
+def below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of `docs` whose own text scores below the limit, with all their columns, whatever other rows share their doc_id."""
+    return docs.where(scored(model, F.col("text")) < limit)
