@@ -7,14 +7,17 @@ share its anchor (Schleimer et al., 2003) and only anchors, about one word in
 five, are compared across the corpus:
 
 1. Seed. Anchors meet by hash; those found in two documents or more are shared.
-2. Extend. A document's windows around its shared anchors, up to the length
-   threshold to both sides, meet by hash, and those that a smaller document
-   holds too are repeats. Adjacent repeats merge into maximal ones.
+2. Extend. Around its shared anchors a document is extended to both sides up to
+   the length threshold; what the extensions of two documents have in common is
+   found by the hashes of their windows and not pair by pair, as a passage in n
+   documents would have n * n pairs. Windows that a smaller document holds too
+   are repeats, and adjacent ones merge into maximal repeats.
 3. Cut. Each document drops the words of its maximal repeats.
 
-Entries travel in blobs, one per task's batch and bucket. Documents of one batch
-that share an entry are settled there, and only one of them is sent on to meet
-the others, so a passage found in a third of all documents loads no bucket.
+Entries travel in blobs, one per bucket for about DEAL entries of a task. Documents
+there that share an entry are settled at once, and only one of them is sent on to
+meet the others, so a passage found in a third of all documents loads no bucket.
+Rows without a doc_id take no part and aren't shuffled.
 """
 
 from __future__ import annotations
@@ -23,15 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.hashing import EXACT, U64, gram_hashes, slices, word_hashes, word_spans
-from palimpsest.llm.scratch import input_bytes
+from palimpsest.llm.hashing import EXACT, SPACE, U64, gram_hashes, slices, word_hashes, word_spans
+from palimpsest.plans.scratch import free_name
 
 K = 5
-#: Input bytes for each bucket, and the smallest number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 1 << 23, 512
+#: Bytes of text for each bucket, and the smallest number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 1 << 24, 512
+#: Entries that a task gathers before it deals them out.
+DEAL = 1 << 20
 BLOB = "bucket long, entries binary"
 #: hash, document, whether it is settled already
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("settled", "?")])
@@ -66,11 +72,9 @@ def _sorted(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return entries, first, np.diff(np.append(first, len(entries)))
 
 
-def _deal(hashes: np.ndarray, docs: np.ndarray, buckets: int, smaller_only: bool) -> pa.RecordBatch | None:
+def _deal(hashes: np.ndarray, docs: np.ndarray, buckets: int, smaller_only: bool) -> pa.RecordBatch:
     """Blobs of a batch's distinct (hash, document). Of documents that share a hash, the smallest is sent to meet
     others and the rest (all of them unless smaller_only) are settled, and go to buckets by their ids."""
-    if not len(hashes):
-        return None
     e = np.zeros(len(hashes), ENTRY)
     e["hash"], e["doc"] = hashes, docs
     e, first, size = _sorted(e)
@@ -110,16 +114,20 @@ def _hashed(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 def _seeds(window: int, k: int, buckets: int):
     def work(batches):
+        hashes, docs, held = [], [], 0
         for b in batches:
-            ids, hashes, docs = b.column(0).to_numpy(zero_copy_only=False), [], []
-            for i, j, words, at in _hashed(b.column(1)):
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for i, _, words, at in _hashed(b.column(1)):
                 _, anchors, grams = _anchors(words, at, window, k)
                 anchors = anchors[np.diff(anchors, prepend=-1) > 0]
                 hashes.append(grams[anchors])
                 docs.append(ids[i + np.searchsorted(at[1:], anchors, "right")])
-            out = _deal(np.concatenate(hashes), np.concatenate(docs), buckets, False) if hashes else None
-            if out is not None:
-                yield out
+                held += len(anchors)
+                if held >= DEAL:
+                    yield _deal(np.concatenate(hashes), np.concatenate(docs), buckets, False)
+                    hashes, docs, held = [], [], 0
+        if held:
+            yield _deal(np.concatenate(hashes), np.concatenate(docs), buckets, False)
 
     return work
 
@@ -157,10 +165,12 @@ def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[at] == x
 
 
-def _extended(window: int, k: int, buckets: int):
+def _extended(window: int, k: int, buckets: int, own_id: str):
     def work(texts: pa.Table, shared: pa.Table) -> pa.Table:
         known, hashes, docs = _of_docs(shared), [], []
-        ids = texts["doc_id"].to_pylist()
+        if not known:
+            return pa.table({"bucket": pa.array([], pa.int64()), "entries": pa.array([], pa.binary())})
+        ids = texts[own_id].to_pylist()
         for i, j, words, at in _hashed(texts["text"]):
             starts, anchors, grams = _anchors(words, at, window, k)
             long = gram_hashes(words, window)
@@ -171,49 +181,75 @@ def _extended(window: int, k: int, buckets: int):
                     own = starts[a:b][_among(grams[anchors[a:b]], held)]
                     hashes.append(long[own])
                     docs.append(np.full(len(own), ids[r]))
-        out = _deal(np.concatenate(hashes), np.concatenate(docs), buckets, True) if hashes else None
+        out = _deal(np.concatenate(hashes), np.concatenate(docs), buckets, True) if any(map(len, hashes)) else None
         return pa.Table.from_batches([out] if out is not None else [], pa.schema([("bucket", pa.int64()), ("entries", pa.binary())]))
 
     return work
 
 
+def _kept(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """Per text, its words that aren't gone, joined by one space."""
+    keep = np.flatnonzero(~gone)
+    last = np.diff(np.searchsorted(at, keep, "right"), append=-1) != 0  # no space follows a text's last word
+    edge = np.zeros(len(data) + 2, np.int8)
+    edge[starts[keep]] += 1
+    edge[ends[keep] + ~last] -= 1
+    mask = np.cumsum(edge[: len(data)], dtype=np.int8).view(bool)
+    out = data[mask]
+    out[SPACE[out]] = 32
+    sizes = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(mask, out=sizes[1:])
+    return pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(sizes[offs]), pa.py_buffer(out))
+
+
+SPAN = pa.struct([("first", pa.int64()), ("words", pa.int64())])
 RESULT = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<first: long, words: long>>"
 
 
-def _cut(window: int):
-    span = pa.struct([("first", pa.int64()), ("words", pa.int64())])
+def _cuts(texts, ids: list, known: dict[int, np.ndarray], window: int) -> dict[str, pa.ChunkedArray]:
+    """n_words, n_removed, kept and repeats of a column of texts, given the repeated windows of their documents."""
+    out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "repeats": []}
+    for i, j, data, offs in slices(texts):
+        starts, ends, at = word_spans(data, offs)
+        gone, repeats = np.zeros(len(starts), bool), [[] for _ in range(i, j)]
+        rows = [r for r in range(i, j) if at[r - i + 1] - at[r - i] >= window and ids[r] in known]
+        if rows:
+            long = gram_hashes(word_hashes(data, starts, ends, EXACT), window)
+        for r in rows:
+            a, b = at[r - i], at[r - i + 1]
+            hit = np.flatnonzero(_among(long[a : b - window + 1], known[ids[r]]))
+            edge = np.zeros(b - a + 1, np.int32)
+            edge[hit] += 1
+            edge[hit + window] -= 1
+            gone[a:b] = np.cumsum(edge)[:-1] > 0
+            turn = np.flatnonzero(np.diff(gone[a:b], prepend=False, append=False))
+            repeats[r - i] = [{"first": int(p), "words": int(q - p)} for p, q in zip(turn[::2], turn[1::2], strict=True)]
+        removed = np.concatenate(([0], np.cumsum(gone)))
+        out["n_words"].append(pa.array(np.diff(at), pa.int64()))
+        out["n_removed"].append(pa.array(removed[at[1:]] - removed[at[:-1]], pa.int64()))
+        out["kept"].append(_kept(data, offs, starts, ends, at, gone).cast(pa.string()))
+        out["repeats"].append(pa.array(repeats, pa.list_(SPAN)))
+    types = (pa.int64(), pa.int64(), pa.string(), pa.list_(SPAN))
+    return {k: pa.chunked_array(v, t) for (k, v), t in zip(out.items(), types, strict=True)}
+
+
+def _solve(spark: SparkSession, documents: DataFrame, window: int, k: int, out: str, told) -> DataFrame:
+    """told(table of rows, its cuts) for every bucket of documents that have a doc_id, as a DataFrame of schema `out`."""
+    own_id, key = free_name(documents, "own_id"), free_name(documents, "bucket")
+    named = documents.where(F.col("doc_id").cast("long").isNotNull()).withColumn(own_id, F.col("doc_id").cast("long"))
+    named = named.withColumn("text", F.col("text").cast("string"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES) | 1  # odd, as ids are often multiples of two
+    seeds = named.select(own_id, "text").mapInArrow(_seeds(window, k, buckets), BLOB)
+    shared = seeds.groupBy("bucket").applyInArrow(_met(buckets, False), BLOB)
+    texts = named.withColumn(key, _bucket(F.col(own_id), buckets).cast("long"))
+    repeated = texts.groupBy(key).cogroup(shared.groupBy("bucket")).applyInArrow(_extended(window, k, buckets, own_id), BLOB)
+    repeated = repeated.groupBy("bucket").applyInArrow(_met(buckets, True), BLOB)
 
-    def work(texts: pa.Table, repeated: pa.Table) -> pa.Table:
-        known = _of_docs(repeated)
-        ids, total, removed, kept, repeats = texts["doc_id"].to_pylist(), [], [], [], []
-        for i, j, data, offs in slices(texts["text"]):
-            a, b, at = word_spans(data, offs)
-            long, raw = None, data.tobytes()
-            for r in range(i, j):
-                own, held = raw[offs[r - i] : offs[r - i + 1]].split(), known.get(ids[r])
-                spans = []
-                if held is not None and len(own) >= window:
-                    if long is None:
-                        long = gram_hashes(word_hashes(data, a, b, EXACT), window)
-                    x = at[r - i]
-                    hit = np.flatnonzero(_among(long[x : x + len(own) - window + 1], held))
-                    edge = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(edge, hit, 1)
-                    np.add.at(edge, hit + window, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    turn = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                    spans = [{"first": int(p), "words": int(q - p)} for p, q in zip(turn[::2], turn[1::2], strict=True)]
-                    total.append(len(own))
-                    own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-                    removed.append(total[-1] - len(own))
-                else:
-                    total.append(len(own))
-                    removed.append(0)
-                kept.append(b" ".join(own).decode())
-                repeats.append(spans)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "repeats": pa.array(repeats, pa.list_(span))})
+    def cut(rows: pa.Table, entries: pa.Table) -> pa.Table:
+        return told(rows, rows[own_id], _cuts(rows["text"], rows[own_id].to_pylist(), _of_docs(entries), window))
 
-    return work
+    return texts.groupBy(key).cogroup(repeated.groupBy("bucket")).applyInArrow(cut, out)
 
 
 def dedup(spark: SparkSession, documents: DataFrame, window: int = 13, k: int = K) -> DataFrame:
@@ -224,16 +260,37 @@ def dedup(spark: SparkSession, documents: DataFrame, window: int = 13, k: int =
     a document with a smaller doc_id, before anything is removed there. `kept`
     joins the other words by one space; `repeats` are the maximal removed runs,
     (first word, words). A null or empty text has no words. Rows that repeat a
-    doc_id don't count as smaller than each other, and lose what either would;
-    rows without a doc_id keep all their words and take none from others. An
-    empty table gives an empty result; other columns are not read.
+    doc_id don't count as smaller than each other, and lose each what of their
+    own text either would; rows without a doc_id keep all their words and take
+    none from others. An empty table gives an empty result; other columns are
+    not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES) | 1  # odd, as ids are often multiples of two
-    seeds = docs.where("doc_id is not null").mapInArrow(_seeds(window, k, buckets), BLOB)
-    shared = seeds.groupBy("bucket").applyInArrow(_met(buckets, False), BLOB)
 
-    texts = docs.select(F.coalesce(_bucket(F.col("doc_id"), buckets), F.lit(0)).cast("long").alias("bucket"), "doc_id", "text")
-    repeated = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_extended(window, k, buckets), BLOB)
-    repeated = repeated.groupBy("bucket").applyInArrow(_met(buckets, True), BLOB)
-    return texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_cut(window), RESULT)
+    def told(rows: pa.Table, ids: pa.ChunkedArray, cuts: dict) -> pa.Table:
+        return pa.table({"doc_id": ids, **cuts})
+
+    def alone(batches):
+        for b in batches:
+            for part in pa.table({"doc_id": b.column(0), **_cuts(b.column(1), b.column(0).to_pylist(), {}, window)}).to_batches():
+                yield part
+
+    rest = docs.where("doc_id is null").mapInArrow(alone, RESULT)
+    return _solve(spark, docs, window, k, RESULT, told).unionAll(rest)
+
+
+def cut(spark: SparkSession, documents: DataFrame, window: int = 13, k: int = K) -> DataFrame:
+    """`documents` without the words that `dedup` removes, each row by its own text; all columns stay.
+
+    A text that loses nothing stays as it is, one that loses all is empty.
+    """
+    names = documents.columns
+
+    def told(rows: pa.Table, ids: pa.ChunkedArray, cuts: dict) -> pa.Table:
+        lost = pc.greater(cuts["n_removed"], 0)
+        i = rows.schema.get_field_index("text")
+        text = pc.if_else(lost, cuts["kept"], rows["text"].cast(pa.string()))
+        return rows.set_column(i, "text", text).select(names)
+
+    docs = documents.withColumn("text", F.col("text").cast("string"))
+    return _solve(spark, docs, window, k, docs.schema, told).unionAll(docs.where(F.col("doc_id").cast("long").isNull()))
