@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.scratch import Scratch, free_name
+from palimpsest.plans.scratch import Scratch, free_name
 
 #: The kinds in their order, and the found kind after them.
 KINDS = ("email", "ip", "card", "phone")
