@@ -93,7 +93,6 @@ def test_jaccard_families(spark, edits, monkeypatch):
     """Many near copies of a text that itself is missing, some linked, some not; hot tokens with a low limit take the exact way."""
     monkeypatch.setattr(jaccard, "HOT", 2)
     monkeypatch.setattr(jaccard, "GROUP", 8)
-    monkeypatch.setattr(jaccard, "BLOCK", 2000)
     rows = family(random.Random(edits), 40, edits)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark, table(spark, rows)).collect()}
     assert got == brute_jaccard(rows)
