@@ -3,42 +3,35 @@
 Every stage takes (spark, docs, sf_dir). Between stages the rows are written as
 Parquet in the shared folder and read again, by `run` or by whoever runs STAGES.
 All stages but the last return the columns of `documents`, whatever they are.
-Rows that repeat a doc_id share the decisions that are made by doc_id.
+Every row is judged by its own text, also where rows repeat or lack a doc_id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard, packing, pii, substrings, toxicity
 from palimpsest.llm.queries import remainder, table
-from palimpsest.llm.scratch import Scratch, free_name
+from palimpsest.plans.scratch import Scratch
 
 #: From this score on a document counts as toxic.
 TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. Those without a doc_id are scored as well, and go with any toxic one of them."""
+    """Rows whose own text scores as toxic go; other rows with their doc_id, or without one, stay."""
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
-    bad = toxicity.score(docs, model).where(F.col("score") >= TOXIC).select(F.col("doc_id").alias(own := free_name(docs, "id"))).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
+    return toxicity.below(docs, model, TOXIC)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join, the one with the smallest doc_id stays. Those without a doc_id stay."""
-    found = jaccard.near_duplicates(spark, docs)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own := free_name(docs, "id"))).distinct()
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    """Of the rows that near-duplicate links join, one with the smallest doc_id stays, and all rows that are linked with nothing."""
+    return jaccard.first_of_each(spark, docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut. A text that loses nothing stays as it is, one that loses all is empty."""
-    own, new = free_name(docs, "id"), free_name(docs, "kept")
-    found = substrings.dedup(spark, docs).where("n_removed > 0").groupBy(F.col("doc_id").alias(own)).agg(F.min("kept").alias(new))
-    marked = docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left")
-    return marked.withColumn("text", F.coalesce(new, "text")).select(*docs.columns)
+    """Passages that an earlier document has are cut from each row's own text. A text that loses all is empty."""
+    return substrings.cut(spark, docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
