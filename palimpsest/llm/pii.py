@@ -1,12 +1,21 @@
 """Personal data by fixed forms, and more of it by bootstrapped contextual extraction.
 
-Seeds are the entities of four fixed forms. Every seed, and every other word that
-looks like an identifier, is an instance; the one or two words before it are its
-patterns. The graph of patterns and instances is scored in rounds: a pattern's
-confidence is the share of its instances that are known, and an instance that
-isn't known takes the confidence of its best pattern. What trusted patterns
-introduce, and what such instances look like elsewhere, is marked with the kind
-`id`. The graph only has rows for identifiers, and stays distributed.
+Seeds are the entities of the four fixed forms, and long hexadecimal strings,
+which only keys and digests are. Every seed, and every other word that looks like
+an identifier, is an instance; its patterns are the words around it: one or two
+before it, one behind it, one on both sides, or the key that it is assigned to
+within its own word. The graph of patterns and instances is scored in rounds:
+
+- a pattern's confidence is what the instances in its place score, over all its
+  occurrences in the corpus, whatever stands there: words that stand before
+  anything lose, and those that introduce identifiers win;
+- an instance's score joins the confidence of all trusted patterns around it with
+  what is known of other instances of its shape. What reaches the threshold is
+  known in the next round, and so lends support to further patterns.
+
+Instances that are known in the end are marked, wherever they stand, with the
+kind `id`. Patterns are 64-bit hashes of words in lower case without punctuation.
+The graph only has rows for identifiers, and stays distributed.
 """
 
 from __future__ import annotations
@@ -14,11 +23,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.plans.scratch import Scratch, free_name
+from palimpsest.llm import hashing as H
+from palimpsest.plans.scratch import FEW, Scratch, free_name, if_few
 
 #: The kinds in their order, and the found kind after them.
 KINDS = ("email", "ip", "card", "phone")
@@ -75,37 +87,72 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _plain(word: str) -> str:
-    return word.strip(_EDGE).lower() or word
+#: At least so many hexadecimal digits, letters and decimals both, are a key or a digest.
+_HEX = re.compile(r"(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}")
+_RUN = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]")
 
+#: Letters and digits count in a pattern, A-Z as a-z; other ASCII characters don't.
+_SPELLED = H.LOWER.copy()
+_SPELLED[[b for b in range(128) if not chr(b).isalnum()]] = 0
+#: What makes the hashes of the five kinds of patterns differ.
+LEFT, LEFT2, RIGHT, AROUND, KEY = (np.uint64(x) for x in (1, 2, 3, 4, 5))
 
-def _key(word: str) -> tuple[str, int]:
-    """The letters before the = or : of a word and where its value begins, or an empty key and 0."""
-    cut = max(word.find("="), word.find(":"))
-    return (_plain(word[:cut]), cut + 1) if cut > 0 and word[:cut].strip(_EDGE).isalpha() else ("", 0)
 
+def _two(a: np.ndarray, b: np.ndarray, kind: np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return H.mix(a * H.STEP[0] + b * H.STEP[1] + kind)
 
-def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
-    """(start, end, instance, whether it is a seed, its patterns): the base spans and the other identifier-like words."""
+
+def _one(a: np.ndarray, kind: np.uint64) -> np.ndarray:
+    return _two(a, np.zeros(1, H.U64), kind)
+
+
+def _assigned(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a = or : inside, and where the first of these is."""
+    marks = np.flatnonzero((data == 61) | (data == 58))
+    word = np.searchsorted(starts, marks, "right") - 1
+    word, first = np.unique(word, return_index=True)
+    marks = marks[first]
+    inner = (marks > starts[word]) & (marks + 1 < ends[word])
+    return word[inner], marks[inner]
+
+
+def contexts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """The patterns of all places for one word in some texts: of each kind, the hashes."""
+    starts, ends, at = H.word_spans(data, offs)
+    w = H.word_hashes(data, starts, ends, _SPELLED)
+    head = np.zeros(len(w) + 1, bool)  # words that begin a text
+    head[at] = True
+    inner = ~head[1:-1] if len(w) else head[:0]  # word i + 1 follows word i
+    after = np.flatnonzero(inner)  # a word is before place after + 1
+    both = after[:-1][np.diff(after) == 1] if len(after) else after  # words i, i + 1, i + 2 of one text
+    word, mark = _assigned(data, starts, ends)
+    keys = H.word_hashes(data, starts[word], mark, _SPELLED)
+    return [_one(w[after], LEFT), _two(w[both], w[both + 1], LEFT2), _one(w[after + 1], RIGHT), _two(w[both], w[both + 2], AROUND), _one(keys, KEY)]
+
+
+def shape(instance: str) -> str:
+    """How an instance looks: its runs of digits, small and capital letters with their lengths, hexadecimal strings as one."""
+    if _HEX.fullmatch(instance):
+        return f"hex{len(instance)}"
+    kinds = lambda m: m if not m.isalnum() else ("9" if m[0].isdigit() else "a" if m[0].islower() else "A") + str(min(len(m), 9))
+    return "".join(kinds(m) for m in _RUN.findall(instance[:64])) or "other"
+
+
+def instances(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
+    """start, end, instance, shape, base, seed and patterns of the base spans and of the other identifier-like words."""
     if not base and not _DIGIT.search(text):
         return []
     words = [m.span() for m in _WORD.finditer(text)]
     starts = [a for a, _ in words]
-
-    def before(a: int, key: str) -> list[str]:
-        if key:
-            return [f"{key}|"]
-        i = bisect_right(starts, a) - 1  # the word that holds a
-        left = [_plain(text[x:y]) for x, y in words[max(0, i - 2) : i]]
-        return [f"{left[-1]}|", f"{' '.join(left)}|"] if len(left) == 2 else [f"{w}|" for w in left]
-
-    out = [(a, b, text[a:b].lower(), True, before(a, _key(text[starts[bisect_right(starts, a) - 1] : a])[0])) for _, a, b in base]
+    found = []  # start, end, whether it is a base span
     taken = sorted((a, b) for _, a, b in base)
     for a, b in words:
         word = text[a:b]
         if not _DIGIT.search(word):
             continue
-        key, lead = _key(word)
+        cut = min((i for i in (word.find("="), word.find(":")) if i > 0), default=-1)
+        lead = cut + 1 if 0 < cut < len(word) - 1 and word[:cut].strip(_EDGE).isalpha() else 0
         value = word[lead:]
         x = a + lead + len(value) - len(value.lstrip(_EDGE))
         value = value.strip(_EDGE)
@@ -113,51 +160,136 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
         if not (len(value) >= 6 and digits >= 2 or len(value) >= 10 and digits):
             continue
         i = bisect_left(taken, (x + len(value), 0))
-        if any(p < x + len(value) and x < q for p, q in taken[max(0, i - 16) : i]):
-            continue
-        out.append((x, x + len(value), value.lower(), False, before(a, key)))
+        if not any(p < x + len(value) and x < q for p, q in taken[max(0, i - 16) : i]):
+            found.append((x, x + len(value), False))
+    found += [(a, b, True) for a, b in taken]
+    if not found:
+        return []
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    byte_starts, byte_ends, _ = H.word_spans(data, np.array([0, len(data)]))
+    w = H.word_hashes(data, byte_starts, byte_ends, _SPELLED)
+    keys: dict[int, int] = {}
+    for i, m in zip(*_assigned(data, byte_starts, byte_ends), strict=True):
+        keys[int(i)] = int(m)
+    out = []
+    for a, b, fixed in found:
+        i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+        own = []
+        if i >= 1:
+            own.append(_one(w[i - 1 : i], LEFT))
+        if i >= 2:
+            own.append(_two(w[i - 2 : i - 1], w[i - 1 : i], LEFT2))
+        if j + 1 < len(w):
+            own.append(_one(w[j + 1 : j + 2], RIGHT))
+            if i >= 1:
+                own.append(_two(w[i - 1 : i], w[j + 1 : j + 2], AROUND))
+        if i in keys and a > starts[i]:
+            own.append(_one(H.word_hashes(data, byte_starts[i : i + 1], np.array([keys[i]]), _SPELLED), KEY))
+        value = text[a:b]
+        out.append({"start": a, "end": b, "instance": value.lower(), "shape": shape(value), "base": fixed, "seed": fixed or bool(_HEX.fullmatch(value)), "patterns": [int(p.view(np.int64)[0]) for p in own]})
     return out
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_SEEN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+_SEEN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("shape", pa.string()), ("base", pa.bool_()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.int64()))])
+SPANS = "array<struct<kind: string, start: long, end: long>>"
+
+
+def _key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit("text"), text)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """row (a hash of doc_id and text), doc_id, base (its spans), seen (its instances): a row per row."""
+    """doc_id, h1 and h2 (a text's 128 bits), base (its spans), seen (its instances): a row per row of (doc_id, text)."""
 
     def work(batches):
         for b in batches:
             base, seen = [], []
-            for t in b.column(2):
+            for t in b.column(1):
                 t = t.as_py() or ""
                 own = base_spans(t)
                 base.append([{"kind": k, "start": x, "end": y} for k, x, y in own])
-                seen.append([dict(zip(("start", "end", "instance", "seed", "patterns"), s, strict=True)) for s in instances(t, own)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))], ["row", "doc_id", "base", "seen"])
+                seen.append(instances(t, own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))], ["doc_id", "h1", "h2", "base", "seen"])
+
+    h1, h2 = _key(F.col("text"))
+    schema = f"doc_id long, h1 long, h2 long, base {SPANS}, seen array<struct<start: long, end: long, instance: string, shape: string, base: boolean, seed: boolean, patterns: array<long>>>"
+    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(work, schema)
 
-    schema = "row long, doc_id long, base array<struct<kind: string, start: long, end: long>>, seen array<struct<start: long, end: long, instance: string, seed: boolean, patterns: array<string>>>"
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").mapInArrow(work, schema)
 
+def totals(docs: DataFrame, wanted: DataFrame, most: int = FEW) -> DataFrame:
+    """(pattern, total): how often the texts have each of the `wanted` patterns (pattern), whatever stands in its place.
 
-def bootstrap(seen: DataFrame, scratch: Scratch, rounds: int = 3, trust: float = 0.6, support: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns (pattern, confidence) and instances (instance, score) of the graph of `seen` (instance, seed, pattern).
+    Up to `most` patterns are looked up where the texts are; with more, all
+    patterns of the texts are counted and joined.
+    """
+    held = [r["pattern"] for r in wanted.limit(most + 1).collect()]  # 8 bytes each
+    among = np.sort(np.array(held, np.int64)) if len(held) <= most else None
 
-    An instance without a word before it has a null pattern, which tells only whether it is a seed.
-    A pattern is trusted if its confidence reaches `trust` with at least `support`
-    distinct known instances. Confidence is what its instances score, over their
-    number plus one. Ties don't arise: all that reach the threshold are trusted.
+    def work(batches):
+        for b in batches:
+            for _, _, data, offs in H.slices(b.column(0)):
+                found = np.concatenate(contexts(data, offs)).view(np.int64)
+                if among is not None:
+                    if not len(among):
+                        continue
+                    at = np.searchsorted(among, found)
+                    at[at == len(among)] = 0
+                    found = found[among[at] == found]
+                pattern, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], ["pattern", "n"])
+
+    counted = docs.select("text").mapInArrow(work, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    return counted if among is not None else counted.join(wanted, "pattern", "left_semi")
+
+
+def bootstrap(seen: DataFrame, docs: DataFrame, scratch: Scratch, rounds: int = 3, trust: float = 0.6, support: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns (pattern, confidence) and known instances (instance, score) of the graph of `seen` (instance, shape, base, seed, patterns).
+
+    Seeds weigh 1 as teachers, other instances their score if it reaches `trust`.
+    A pattern's confidence is the sum of these weights over its places, over one
+    more than its occurrences in `docs`; it is trusted from `trust` on, with at
+    least `support` distinct instances that weigh something. A score is 3/4 of
+    1 - the product of (1 - confidence) over the trusted patterns of all places
+    of an instance, and 1/4 of the share of known instances among those of its
+    shape. Hexadecimal seeds are scored as well: without a trusted pattern none is
+    known. What is a base span anywhere has the score 1. Instances that are base
+    spans everywhere need no mark and aren't returned. Scores and confidence are rounded to nine digits, so that no order of summing decides.
     """
-    edges = scratch.put(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    known = scratch.put(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score")), "known-0")
-    edges = edges.where("pattern is not null")
+    nodes = seen.groupBy("instance").agg(F.min("shape").alias("shape"), F.max("seed").alias("seed"), F.max("base").alias("base"), F.min("base").alias("only"))
+    nodes = scratch.put(nodes, "nodes")
+    edges = scratch.put(seen.select("instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n")), "edges")
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("pattern")
+    total = scratch.put(totals(docs, scratch.put(wide, "wide")), "totals")
+    edges = scratch.put(edges.join(if_few(total.select("pattern")), "pattern", "left_semi"), "able")
+    weight = scratch.put(nodes.select("instance", F.col("seed").cast("double").alias("w")), "weight-0")
+    patterns = known = None
     for r in range(rounds):
-        scored = edges.select("pattern", "instance").join(known, "instance")
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum((F.col("score") > 0).cast("int")).alias("backed"))
-        patterns = scratch.put(patterns.where((F.col("confidence") >= trust) & (F.col("backed") >= support)).select("pattern", "confidence"), f"patterns-{r}")
-        lent = edges.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("lent"))
-        known = scratch.put(known.join(lent, "instance", "left").select("instance", F.greatest("score", F.coalesce("lent", F.lit(0.0))).alias("score")), f"known-{r + 1}")
-    return patterns, known.where(F.col("score") >= trust)
+        taught = edges.join(weight.where("w > 0"), "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("s"), F.count("*").alias("backed"))
+        rated = taught.where(F.col("backed") >= support).join(total, "pattern").select("pattern", F.round(F.col("s") / (F.col("total") + 1), 9).alias("confidence"))
+        patterns = scratch.put(rated.where(F.col("confidence") >= trust), f"patterns-{r}")
+        looks = nodes.join(weight, "instance").groupBy("shape").agg((F.sum("w") / (F.count("*") + 1)).alias("alike"))
+        lent = edges.join(if_few(patterns), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999999)))))).alias("lent"))
+        score = F.round(0.75 * F.col("lent") + 0.25 * F.coalesce("alike", F.lit(0.0)), 9)
+        known = nodes.join(lent, "instance").join(if_few(looks), "shape", "left").select("instance", score.alias("score")).where(F.col("score") >= trust)
+        known = scratch.put(known, f"known-{r}")
+        weight = nodes.select("instance", "seed").join(known, "instance", "left")
+        weight = scratch.put(weight.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("w")), f"weight-{r + 1}")
+    told = nodes.where("not only").select("instance", "base").join(known, "instance", "left")
+    return patterns, scratch.put(told.select("instance", F.when(F.col("base"), 1.0).otherwise(F.col("score")).alias("score")).where("score is not null"), "known")
+
+
+def _learned(docs: DataFrame, scratch: Scratch, rounds: int, trust: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows, each with a number of its own, and the known instances."""
+    rows = scratch.put(scan(docs).withColumn("row", F.monotonically_increasing_id()), "rows")  # numbered once, as written
+    seen = rows.where(F.size("seen") > 0).select(F.explode("seen").alias("s")).select("s.*")
+    return rows, bootstrap(seen, docs, scratch, rounds, trust, support)[1]
+
+
+def _plain(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def find(spark: SparkSession, documents: DataFrame, rounds: int = 3, trust: float = 0.6, support: int = 5) -> DataFrame:
@@ -170,16 +302,11 @@ def find(spark: SparkSession, documents: DataFrame, rounds: int = 3, trust: floa
     an empty result; other columns are not read.
     """
     scratch = Scratch(spark, "pii")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.put(scan(docs), "rows")
-    seen = scratch.put(rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*").distinct(), "seen")
-    patterns, known = bootstrap(seen.select("instance", "seed", F.explode_outer("patterns").alias("pattern")), scratch, rounds, trust, support)
-    fresh = seen.where("not seed")
-    led = fresh.select("row", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern").select("row", "start", "end")
-    hits = led.unionAll(fresh.join(known, "instance").select("row", "start", "end"))
-    found = hits.distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(FOUND).alias("kind"), "start", "end"))).alias("found"))
-    empty = F.array().cast("array<struct<kind: string, start: long, end: long>>")
-    return rows.select("row", "doc_id", "base").join(found, "row", "left").select("doc_id", "base", F.concat("base", F.coalesce("found", empty)).alias("spans"), "row")
+    rows, known = _learned(_plain(documents), scratch, rounds, trust, support)
+    fresh = rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*").where("not base")
+    hits = fresh.join(if_few(known.select("instance")), "instance", "left_semi").select("row", "start", "end").distinct()
+    found = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(FOUND).alias("kind"), "start", "end"))).alias("found"))
+    return rows.join(found, "row", "left").select("doc_id", "base", F.concat("base", F.coalesce("found", F.array().cast(SPANS))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -187,27 +314,60 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def masked(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def _known_spans(text: str, base: list[tuple[str, int, int]], known: np.ndarray) -> list[tuple[int, int]]:
+    """Where the text has an instance whose hash is among the sorted `known`."""
+    own = [s for s in instances(text, base) if not s["base"]] if len(known) else []
+    if not own:
+        return []
+    keys = np.array([xxhash.xxh64_intdigest(s["instance"].encode(), 42) for s in own], np.uint64).view(np.int64)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return [(s["start"], s["end"]) for s, hit in zip(own, known[at] == keys, strict=True) if hit]
+
+
+def _masked(text: str, base: list[tuple[str, int, int]], found: list[tuple[int, int]]) -> str:
+    parts, end = [], 0
+    for kind, a, b in sorted([*base, *((FOUND, a, b) for a, b in found)], key=lambda s: (s[1], -s[2])):
+        if a >= end:
+            parts += [text[end:a], f"[{kind}]"]
+        end = max(end, b)
+    return "".join(parts) + text[end:] if parts else text
+
+
+def masked(spark: SparkSession, documents: DataFrame, rounds: int = 3, trust: float = 0.6, support: int = 5, most: int = FEW) -> DataFrame:
     """`documents` with every span of its text replaced by its kind in square brackets; all columns stay.
 
-    Of spans that overlap, the one that begins first, then the longest, names the place.
+    Of spans that overlap, the one that begins first, then the longest, names the
+    place. Up to `most` known instances go to the rows, 8 bytes each, and no text
+    is shuffled; more are joined with the rows that have them.
     """
-    row, held = free_name(documents, "row"), free_name(documents, "spans")
-    spans = find(spark, documents).where(F.size("spans") > 0).groupBy(F.col("row").alias(row)).agg(F.first("spans").alias(held))
-
-    def work(batches):
-        for b in batches:
-            i, j = b.schema.get_field_index("text"), b.schema.get_field_index(held)
-            texts = b.column(i).to_pylist()
-            for r, spans in enumerate(b.column(j).to_pylist()):
-                if spans and texts[r] is not None:
-                    parts, end = [], 0
-                    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                        if s["start"] >= end:
-                            parts += [texts[r][end : s["start"]], f"[{s['kind']}]"]
-                        end = max(end, s["end"])
-                    texts[r] = "".join(parts) + texts[r][end:]
-            yield b.set_column(i, "text", pa.array(texts, b.schema.field(i).type)).drop_columns([held])
-
-    marked = documents.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(spans, row, "left")
-    return marked.select(*documents.columns, held).mapInArrow(work, documents.schema)
+    scratch = Scratch(spark, "pii")
+    docs = _plain(documents)
+    rows, known = _learned(docs, scratch, rounds, trust, support)
+    held = known.select(F.xxhash64("instance").alias("h")).limit(most + 1).collect()
+    if len(held) <= most:
+        among = np.sort(np.array([r["h"] for r in held], np.int64))
+
+        @F.arrow_udf("string")
+        def told(texts: pa.Array) -> pa.Array:
+            out = []
+            for t in texts.to_pylist():
+                base = base_spans(t or "")
+                out.append(None if t is None else _masked(t, base, _known_spans(t, base, among)))
+            return pa.array(out, pa.string())
+
+        return documents.withColumn("text", told(F.col("text").cast("string"))).select(*documents.columns)
+
+    a, b, c = (free_name(documents, x) for x in ("own_h1", "own_h2", "own_found"))
+    fresh = rows.where(F.size("seen") > 0).select("h1", "h2", F.explode("seen").alias("s")).select("h1", "h2", "s.*").where("not base")
+    found = fresh.join(known.select("instance"), "instance", "left_semi").groupBy(F.col("h1").alias(a), F.col("h2").alias(b)).agg(F.collect_set(F.struct("start", "end")).alias(c))
+    h1, h2 = _key(F.col("text").cast("string"))
+    marked = documents.join(found, (h1 == F.col(a)) & (h2 == F.col(b)), "left")
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        both = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        out = [None if t is None else _masked(t, base_spans(t), [(s["start"], s["end"]) for s in f or ()]) for t, f in both]
+        return pa.array(out, pa.string())
+
+    return marked.withColumn("text", cut(F.col("text").cast("string"), F.col(c))).select(*documents.columns)

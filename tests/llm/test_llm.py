@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, langid, lattice, packing, pieces, pii, substrings, toxicity, urls, voronoi
+from palimpsest.llm import hashing, jaccard, langid, lattice, packing, pieces, pii, substrings, toxicity, urls, voronoi
 from palimpsest.llm.components import components
 from palimpsest.plans.scratch import Scratch
 
@@ -457,13 +457,22 @@ def test_bootstrap_of_first_words(spark):
     assert hidden[51] == "[id] comes first" and hidden[52] == "[id]"
 
 
+def pattern(kind, *said):
+    """The hash of a pattern, from the words that it shows."""
+    w = [hashing.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]), pii._SPELLED)[0] for x in said]
+    return int((pii._one(np.array(w), kind) if len(w) == 1 else pii._two(np.array(w[:1]), np.array(w[1:]), kind)).view(np.int64)[0])
+
+
 def test_patterns_of_seeds():
-    told = lambda text: [(text[a:b], p) for a, b, _, seed, p in pii.instances(text, pii.base_spans(text)) if seed]
-    assert told("please contact <foo@x.com> now") == [("foo@x.com", ["contact|", "please contact|"])]
-    assert told("call me (+49 30 1234567)") == [("+49 30 1234567", ["me|", "call me|"])]
-    assert told("its ip=10.0.0.1 or IP:10.0.0.2:80") == [("10.0.0.1", ["ip|"]), ("10.0.0.2", ["ip|"])]
-    assert told("mail foo@x.com") == [("foo@x.com", ["mail|"])] and told("<foo@x.com>") == [("foo@x.com", [])]
-    assert told("a b x9=(1.2.3.4") == [("1.2.3.4", ["b|", "a b|"])]
+    told = lambda text: [(s["instance"], set(s["patterns"])) for s in pii.instances(text, pii.base_spans(text)) if s["seed"]]
+    here = [pattern(pii.LEFT, "contact"), pattern(pii.LEFT2, "please", "contact"), pattern(pii.RIGHT, "now"), pattern(pii.AROUND, "contact", "now")]
+    assert told("please Contact: <foo@x.com> now.") == [("foo@x.com", set(here))]
+    assert told("me (+49 30 1234567)") == [("+49 30 1234567", {pattern(pii.LEFT, "me")})]
+    key = pattern(pii.KEY, "ip")
+    assert all(key in p for _, p in told("its ip=10.0.0.1 or IP:10.0.0.2:80")) and told("<foo@x.com>") == [("foo@x.com", set())]
+    assert told("mail foo@x.com") == [("foo@x.com", {pattern(pii.LEFT, "mail")})]
+    long = "0123456789abcdef" * 2
+    assert told(f'"{long}" is') == [(long, {pattern(pii.RIGHT, "is")})] and told(long[:-1]) == []
 
 
 def test_bootstrap_from_bracketed_seeds(spark):
