@@ -2,13 +2,30 @@
 
 ORACLES: dict[str, str] = {}
 
-_HOST, _PATH = "translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+_HOST = "translate(regexp_extract(coalesce({0}, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce({0}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+_KEY = f"CASE WHEN contains({{0}}, '://') THEN {_HOST} || regexp_extract({{0}}, '^.*?://[^/?#]*([^#]*)', 1, 's') END"
+_FITS = "(host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)"
 
-# Rules alone: no page of the test tables names another one, and an alias of nothing is judged by its rule.
-ORACLES["op1_url_filters"] = f"""WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+# Rules by longest match; components by walking from every URL that names another one or is named.
+ORACLES["op1_url_filters"] = rf"""WITH RECURSIVE u AS (SELECT page_id, url, html, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, {_KEY.format("url")} AS key FROM pages),
 rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS component FROM u LEFT JOIN m USING (page_id)"""
+m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM u JOIN rules ON {_FITS} GROUP BY page_id),
+tags AS (SELECT url, key, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', '', 'gis'), '<(?:link|meta)\b[^<>]*>', 0, 'is')) AS tag FROM u WHERE regexp_matches(html, 'canonical|refresh', 'i')),
+said AS (SELECT url, key, CASE WHEN regexp_matches(tag, '^<link\b[^>]*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is') THEN regexp_extract(tag, '\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1, 'is')
+  WHEN regexp_matches(tag, '^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b', 'is') THEN regexp_extract(tag, '\burl\s*=\s*([''"]?[^''">]+)', 1, 'is') END AS x FROM tags),
+plain AS (SELECT url, key, replace(trim(regexp_replace(x, '[''"]', '', 'g')), '&amp;', '&') AS t, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin, {_PATH.format("url")} AS path FROM said WHERE x IS NOT NULL),
+named AS (SELECT url, key, CASE WHEN regexp_matches(t, '^[a-z][a-z0-9+.-]*://', 'i') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || t WHEN starts_with(t, '/') THEN origin || t
+  WHEN t <> '' AND NOT regexp_matches(t, '^[#?]') AND NOT regexp_matches(t, '^[a-z][a-z0-9+.-]*:', 'i') THEN origin || CASE WHEN contains(path, '/') THEN regexp_replace(path, '[^/]*$', '') ELSE '/' END || t END AS other FROM plain),
+edges AS (SELECT url, key, other, {_KEY.format("other")} AS other_key FROM named WHERE key <> {_KEY.format("other")}),
+ends AS (SELECT key, url FROM edges UNION SELECT other_key, other FROM edges),
+ways AS (SELECT key AS a, other_key AS b FROM edges UNION SELECT other_key, key FROM edges),
+r AS (SELECT DISTINCT key AS node, key AS c FROM ends UNION SELECT r.node, ways.b FROM r JOIN ways ON ways.a = r.c),
+aliases AS (SELECT node, min(c) AS component FROM r GROUP BY node),
+judged AS (SELECT key, url, arg_max(v, length(h || p)) AS verdict FROM (SELECT key, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM ends) JOIN rules ON {_FITS} GROUP BY key, url),
+bad AS (SELECT DISTINCT component FROM judged JOIN aliases ON node = key WHERE verdict = 'block')
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.component IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, aliases.component AS component
+FROM u LEFT JOIN m USING (page_id) LEFT JOIN aliases ON node = key LEFT JOIN bad ON bad.component = aliases.component"""
 
 _VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 

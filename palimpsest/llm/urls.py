@@ -47,24 +47,32 @@ def key_of(url: Column) -> Column:
 def named_urls(html: Column, url: Column) -> Column:
     """Array of the URLs that a page's canonical links and meta refreshes name, made absolute.
 
-    Limits: ./ and ../ segments stay as they are, so such a target is a URL of its
-    own; base elements and entities other than &amp; aren't read.
+    Comments, scripts and styles are left out, up to the end of the page if they
+    aren't closed. All patterns pass over the page once and have no repeated
+    group, so pages and URLs of any length are read. Limits: ./ and ../ segments
+    stay as they are, so such a target is a URL of its own; base elements and
+    entities other than &amp; aren't read; a tag ends at the next < or >.
     """
-    visible = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    tags = F.regexp_extract_all(visible, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    visible = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)", "")
+    tags = F.regexp_extract_all(visible, F.lit(r"(?is)<(?:link|meta)\b[^<>]*>"), F.lit(0))
+    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(url)
+    folder = F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
+    folder = F.concat(origin, F.when(F.contains(path, F.lit("/")), folder).otherwise(F.lit("/")))
 
     def target(tag: Column) -> Column:
         href = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
         fresh = F.regexp_extract(tag, r"""(?is)\burl\s*=\s*(['"]?[^'">]+)""", 1)
-        said = F.when(tag.rlike(r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), href).when(tag.rlike(r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), fresh)
+        canonical = tag.rlike(r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b""")
+        refresh = tag.rlike(r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b""")
+        said = F.when(canonical, href).when(refresh, fresh)
         t = F.replace(F.trim(F.regexp_replace(said, r"""['"]""", "")), F.lit("&amp;"), F.lit("&"))
-        origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-        folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/(?:[^/?#]*/)*)?)", 1)
+        relative = (t != "") & ~t.rlike(r"^[#?]") & ~t.rlike(r"(?i)^[a-z][a-z0-9+.-]*:")
         return (
             F.when(t.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), t)
             .when(F.startswith(t, F.lit("//")), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), t))
             .when(F.startswith(t, F.lit("/")), F.concat(origin, t))
-            .when((t != "") & ~t.rlike(r"^[#?]") & ~t.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), t))
+            .when(relative, F.concat(folder, t))
         )
 
     found = F.filter(F.transform(tags, target), lambda t: t.isNotNull())
