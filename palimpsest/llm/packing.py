@@ -13,6 +13,7 @@ have is spread over many tasks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from base64 import b64decode
@@ -32,9 +33,13 @@ class Encoder:
     """Ids of the tokenizer file as little-endian unsigned 32-bit bytes.
 
     The ranks file holds the same vocabulary for a faster library; a text that
-    spells a special token goes to the tokenizer file's own library.
+    spells a special token, or has a run of white space so long that the faster
+    one's pattern overflows its stack, goes to the tokenizer file's own library.
     """
 
+    #: The faster library failed at 1,000,000 blanks and passed 700,000.
+    blanks = re.compile(r"\s{200000}")
+
     def __init__(self, json_path: str, ranks_path: str):
         import tiktoken
         from public_tokenizers import PATTERN
@@ -45,7 +50,7 @@ class Encoder:
         self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if "<|endoftext|>" in text:
+        if "<|endoftext|>" in text or (len(text) >= 200_000 and self.blanks.search(text)):
             if self.whole is None:
                 from tokenizers import Tokenizer
 
@@ -70,20 +75,22 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, json_path: str, ranks_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: one row per piece of a text's ids with `end_id` after them."""
+    """doc_id, piece, start, length, ids_crc32, lot (a number that a task counts): one row per piece of a text's ids with `end_id` after them."""
 
     def work(batches):
-        enc, end = encoder(json_path, ranks_path), array("I", [end_id]).tobytes()
+        enc, end, lot = encoder(json_path, ranks_path), array("I", [end_id]).tobytes(), 0
         for b in batches:
-            rows = ([], [], [], [], [])
+            rows = ([], [], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = enc.encode(text.as_py() or "") + end
                 for k, (s, n) in enumerate(cut_points(len(ids) // 4, capacity)):
-                    for to, v in zip(rows, (doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])), strict=True):
+                    for to, v in zip(rows, (doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), lot), strict=True):
                         to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    lot += 1
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "lot"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -143,14 +150,15 @@ def pack(spark: SparkSession, docs: DataFrame, json_path: str, ranks_path: str,
     rows = scratch.put(pieces(docs, json_path, ranks_path, end_id, capacity), "pieces")
     total = rows.count()
     chunks = max(64, total >> 16)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "lot"), F.lit(chunks)))  # also rows that repeat both are spread
     counts = rows.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     by_length = slots_by_length(plan(histogram, capacity))  # at most `capacity` lengths and about as many patterns
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).join(first, ["length", "chunk"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - 1).alias("rank"))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    order = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "start", "ids_crc32")  # rows that are equal in all may change places
+    ranked = rows.withColumn("rank", F.row_number().over(order)).join(first, ["length", "chunk"]).select(*own, (F.col("first") + F.col("rank") - 1).alias("rank"))
 
     def place(batches):
         for b in batches:
