@@ -1,8 +1,8 @@
 """Language identification by compression: the language whose dictionary encodes a text shortest.
 
-Each language has a raw-content zstandard dictionary of its own: passages of
-training texts, at most `per_text` characters of each and `dictionary_bytes` in
-all. A text, lower-cased and reduced to its words, is encoded whole with every
+Each language has a raw-content zstandard dictionary of its own: passages from
+anywhere in training texts, at most `per_text` letters of each and
+`dictionary_bytes` in all. A text, lower-cased and reduced to its words, is encoded whole with every
 dictionary, in blocks so short that each can refer to all of it; the smallest sum
 of sizes wins, and a narrow margin is reported as rejected.
 The fast strategy with short matches suits this best: it seldom learns from the
@@ -24,31 +24,41 @@ BLOCK = 1 << 16
 
 
 def letters(text: str | None) -> str:
-    """The text's words in lower case, joined by one space; empty if it has no letter."""
-    return " ".join(WORD.findall(text.lower())) if text else ""
+    """The text's words of letters (Unicode category L) in lower case, joined by one space; empty if it has no letter."""
+    if not text:
+        return ""
+    words = ["".join(filter(str.isalpha, w)) if not w.isalpha() else w for w in WORD.findall(text.lower())]
+    return " ".join(filter(None, words))
 
 
-def train(spark: SparkSession, docs: DataFrame, where: Column, dictionary_bytes: int = 16384, per_text: int = 512) -> dict[str, bytes]:
+def train(spark: SparkSession, docs: DataFrame, where: Column, dictionary_bytes: int = 16384, per_text: int = 512, max_languages: int = 1000) -> dict[str, bytes]:
     """A dictionary per value of `lang`, from a bounded sample of the rows that `where` keeps.
 
-    The sample takes, per language, the rows with the smallest hashed ids, about
-    four times as many as fill the dictionary. Languages are few; a table of
-    their names and counts is all that is gathered besides.
+    The sample takes, per language, the rows with the smallest hashes of id and
+    text, about eight times as many as fill the dictionary, and of each a passage
+    of `per_text` letters that begins at a hashed place of the text. Repeated rows
+    count once. Every language is learned, however little text it has; of more
+    than `max_languages`, as many of the commonest.
     """
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    hashed = F.xxhash64("doc_id", "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return {}
     want = 4 * max(1, dictionary_bytes // per_text)
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 40) * min(1.0, 2 * want / n)) + 1)])
-    drawn = labelled.where(lot < share[F.col("lang")]).select("lang", lot.alias("lot"), F.substring("text", 1, 4 * per_text).alias("text")).collect()
+    shares = [(r["lang"], int((1 << 40) * min(1.0, 2 * want / max(r["n"], 1))) + 1) for r in counts]
+    share = spark.createDataFrame(shares, "lang string, share long")
+    drawn = labelled.withColumn("lot", F.pmod(hashed, F.lit(1 << 40))).join(F.broadcast(share), "lang").where("lot < share")  # max_languages rows
+    width = F.lit(4 * per_text)
+    start = F.pmod(F.xxhash64(hashed), F.greatest(F.lit(1), F.length("text") - width + 1)).cast("int") + 1
+    drawn = drawn.select("lang", "lot", F.substr("text", start, width).alias("text")).distinct().collect()
     out: dict[str, bytes] = {}
     for r in sorted(drawn, key=lambda r: (r["lang"], r["lot"], r["text"])):
         held = out.setdefault(r["lang"], b"")
         if len(held) < dictionary_bytes:
             out[r["lang"]] = (held + b" " + letters(r["text"])[:per_text].encode())[:dictionary_bytes]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    return {k: v.ljust(8) for k, v in out.items()}  # a raw dictionary has 8 bytes at least
 
 
 def coders(dictionaries: dict[str, bytes]) -> dict:
