@@ -29,9 +29,9 @@ FROM u LEFT JOIN m USING (page_id) LEFT JOIN aliases ON node = key LEFT JOIN bad
 
 _VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
-ORACLES["op3_exact_top_k"] = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE {_VALID}),
-p AS (SELECT q.vec_id AS query_id, s.vec_id AS vec_id, CAST(list_dot_product(q.e, s.e) AS BIGINT) AS score FROM v q JOIN v s ON q.vec_id <> s.vec_id AND len(q.e) = len(s.e) WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
+ORACLES["op3_exact_top_k"] = f"""WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE {_VALID}),
+p AS (SELECT q.row AS row, q.vec_id AS query_id, s.vec_id AS vec_id, CAST(list_dot_product(q.e, s.e) AS BIGINT) AS score FROM v q JOIN v s ON q.vec_id <> s.vec_id AND len(q.e) = len(s.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
 
 ORACLES["op4_substring_dedup"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),

@@ -1,12 +1,14 @@
 """Exact top-k search by a Voronoi join.
 
-Vectors are grouped by the nearest of a bounded number of pivots. Each cell's
-summary (its radius and its k + 1 smallest distances to the pivot) bounds inner
-products from both sides: q.s lies within |q| d(p, s) of q.p. The summaries give
-every query a score that its k-th best can't fall below, and a group of queries
-goes only to cells that may hold something better for one of them. Tiles of a
-cell and a group are solved locally, and each query keeps the best of its tiles.
-What is replicated is the queries, the smaller side.
+Vectors are grouped by the nearest of a number of pivots that grows with the
+data up to MOST_PIVOTS, which bounds only what workers hold. Each cell's summary
+(its radius and its k + 1 smallest distances to the pivot) bounds inner products
+from both sides: q.s lies within |q| d(p, s) of q.p. The summaries give every
+query a score that its k-th best can't fall below, and a group of queries goes
+only to cells that may hold something better for one of them. Rows of a cell lie
+in tiles, and tiles in shards, which are the keys of the join, so a large cell is
+many tasks. Tiles are solved locally, and each query keeps the best of them. What
+is replicated is the queries, the smaller side, once for each shard.
 """
 
 from __future__ import annotations
@@ -16,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.scratch import Scratch
+from palimpsest.plans.scratch import Scratch, if_few
 
-#: Rows of a tile's two sides.
+#: Rows of a tile's two sides, tiles of a shard, and pivots of each width.
 TILE = 1024
-MOST_PIVOTS = 256
+SHARD = 64
+MOST_PIVOTS = 2048
+#: Components and scores beyond this are set to it.
+LARGEST = 2.0**62
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, dim, v: floor(scale * x) of each component as binary int64; vectors that are null, or hold a null or a value that isn't finite, are left out."""
+    """vec_id, dim, v: floor(scale * x) of each component as binary int64, at most LARGEST either way; vectors that are null, or hold a null or a value that isn't finite, are left out."""
 
     def work(batches):
         for b in batches:
@@ -32,8 +37,10 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i is None or v is None or None in v:
                     continue
-                x = np.floor(scale * np.array(v, np.float64))
+                x = np.array(v, np.float64)
                 if np.isfinite(x).all():
+                    with np.errstate(over="ignore"):
+                        x = np.clip(np.floor(scale * x), -LARGEST, LARGEST)
                     ids.append(i)
                     dims.append(len(v))
                     out.append(x.astype(np.int64).tobytes())
@@ -56,16 +63,23 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
     Queries are the rows for which `is_query` (over vec_id) holds; candidates are
     all rows with another vec_id and equally many components. Fewer than k
     candidates are all returned, and an empty table gives none. Rows without a
-    vec_id take no part; rows that repeat one are candidates each, and if they
-    are queries, the pairs of all of them are ranked together, as in the SQL.
+    vec_id take no part. Rows that repeat one are candidates each, and queries
+    each: every query row has its own k results, equal ones for equal rows.
+    Scores beyond 64 bits are set to the largest.
     """
     scratch = Scratch(spark, "voronoi")
     rows = scratch.put(quantized(vectors, scale), "rows")
-    n = rows.count()
-    # a pivot per tile of rows, by hashed id: at most MOST_PIVOTS vectors of each width reach the driver
-    widths = [r["dim"] for r in rows.select("dim").distinct().collect()]
-    many = min(MOST_PIVOTS, max(1, n // TILE))
-    pivots = {d: _matrix([r["v"] for r in rows.where(F.col("dim") == d).orderBy(F.xxhash64("vec_id"), "v").limit(many).collect()]).astype(np.float64) for d in widths}
+    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per width
+    # about a pivot per tile of rows, by hash: at most about MOST_PIVOTS vectors of each width reach the driver
+    wanted = {d: min(MOST_PIVOTS, max(1, n // TILE)) for d, n in counts.items()}
+    lot = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40))
+    shares = [(d, int((1 << 40) * min(1.0, (2 * wanted[d] + 16) / n)) + 1) for d, n in counts.items()]
+    shares = spark.createDataFrame(shares or [(0, 0)], "dim long, share long")
+    drawn: dict[int, list[bytes]] = {d: [] for d in counts}
+    for r in rows.withColumn("lot", lot).join(F.broadcast(shares), "dim").where("lot < share").select("dim", "lot", "v").distinct().orderBy("dim", "lot", "v").collect():
+        if len(drawn[r["dim"]]) < wanted[r["dim"]]:
+            drawn[r["dim"]].append(r["v"])
+    pivots = {d: _matrix(v).astype(np.float64).reshape(len(v), d) if v else np.zeros((1, d)) for d, v in drawn.items()}
 
     def assign(batches):
         for b in batches:
@@ -78,18 +92,12 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
 
     dealt = scratch.put(rows.mapInArrow(assign, "vec_id long, dim long, cell long, far double, v binary"), "dealt")
 
-    def nearest(batches):  # per batch and cell: count, radius and the k + 1 smallest distances
-        for b in batches:
-            key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            by: dict = {}
-            for c, f in zip(key, b.column(2).to_pylist(), strict=True):
-                by.setdefault(c, []).append(f)
-            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in by], pa.int64()), pa.array([c[1] for c in by], pa.int64()), pa.array([len(f) for f in by.values()], pa.int64()), pa.array([max(f) for f in by.values()], pa.float64()), pa.array([sorted(f)[: k + 1] for f in by.values()], pa.list_(pa.float64()))], ["dim", "cell", "n", "radius", "near"])
-
-    summary = dealt.select("dim", "cell", "far").mapInArrow(nearest, "dim long, cell long, n long, radius double, near array<double>")
-    summary = summary.groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()  # a row per pivot
+    span = Window.partitionBy("dim", "cell").orderBy("far")
+    near = dealt.select("dim", "cell", "far").withColumn("r", F.row_number().over(span)).where(F.col("r") <= k + 1)  # cut within each partition first
+    near = near.groupBy("dim", "cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
+    summary = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(near, ["dim", "cell"]).collect()  # a row per pivot
     cells: dict[int, tuple] = {}
-    for d in widths:
+    for d in counts:
         own = sorted((r for r in summary if r["dim"] == d), key=lambda r: r["cell"])
         reach = [(j, x) for j, r in enumerate(own) for x in r["near"]]
         cells[d] = (np.array([r["cell"] for r in own]), np.array([r["radius"] for r in own]), np.array([j for j, _ in reach]), np.array([x for _, x in reach]))
@@ -104,40 +112,64 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
         slack = 1e-9 * (1 + length * (1 + np.abs(pivots[d]).max(initial=0)) * (d + 1))
         need, most = k + table["own"].to_numpy(), least.shape[1]  # the query's own rows may be among the best, and aren't candidates
         floor = np.where(need <= most, np.sort(least, 1)[np.arange(len(q)), most - np.minimum(need, most)] - slack, -np.inf)
-        best = dots + length[:, None] * radius
-        out: tuple[list, ...] = ([], [], [], [], [])
+        best = dots + length[:, None] * radius + slack[:, None]
+        out: tuple[list, ...] = ([], [], [], [], [], [])
         for j in np.flatnonzero((best >= floor[:, None]).any(0)):
             go = np.flatnonzero(best[:, j] >= floor)
-            for to, v in zip(out, (d, int(names[j]), ids[go].tobytes(), floor[go].tobytes(), b"".join(raw[i] for i in go)), strict=True):
-                to.append(v)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("dim", "cell", "q_ids", "floors", "q"), out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+            packed = (ids[go].tobytes(), table["key"].to_numpy()[go].tobytes(), floor[go].tobytes(), b"".join(raw[i] for i in go))
+            for shard in range(-(-tiles[d, int(names[j])] // SHARD)):
+                for to, v in zip(out, (d, int(names[j]) * (1 << 32) + shard, *packed), strict=True):
+                    to.append(v)
+        types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("dim", "shard", "q_ids", "q_keys", "floors", "q"), out, types, strict=True)})
 
     sizes = spark.createDataFrame([(*c, t) for c, t in tiles.items()] or [(0, 0, 1)], "dim long, cell long, tiles long")  # a row per pivot
 
     def tile(table: pa.Table) -> pa.Table:
-        return pa.table({"dim": table["dim"][:1], "cell": table["cell"][:1], "s_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "s": pa.array([b"".join(table["v"].to_pylist())], pa.binary())})
+        shard = table["cell"][0].as_py() * (1 << 32) + table["tile"][0].as_py() // SHARD
+        return pa.table({"dim": table["dim"][:1], "shard": pa.array([shard], pa.int64()), "s_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "s": pa.array([b"".join(table["v"].to_pylist())], pa.binary())})
 
+    # rows that are equal are spread, too, as a cell's own number of rows decides its tiles
     placed = dealt.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.col("tiles")))
-    repeated = dealt.where(is_query).groupBy("vec_id", "dim").agg(F.count("*").alias("own")).where("own > 1")
-    asked = placed.where(is_query).join(repeated, ["vec_id", "dim"], "left").select("vec_id", "dim", "cell", "tile", "v", F.coalesce("own", F.lit(1)).alias("own"))
-    routed = asked.groupBy("dim", "cell", "tile").applyInArrow(route, "dim long, cell long, q_ids binary, floors binary, q binary")
-    tiled = placed.groupBy("dim", "cell", "tile").applyInArrow(tile, "dim long, cell long, s_ids binary, s binary")
+    asked = placed.where(is_query).groupBy("vec_id", "dim", "cell", "tile", "v").agg(F.count("*").alias("copies"))
+    owners = asked.groupBy("vec_id", "dim").agg(F.sum("copies").alias("own")).where("own > 1")
+    asked = asked.join(if_few(owners), ["vec_id", "dim"], "left").select("vec_id", "dim", "cell", "tile", "v", F.xxhash64("v").alias("key"), F.coalesce("own", F.lit(1)).alias("own"))
+    routed = asked.groupBy("dim", "cell", "tile").applyInArrow(route, "dim long, shard long, q_ids binary, q_keys binary, floors binary, q binary")
+    tiled = placed.groupBy("dim", "cell", "tile").applyInArrow(tile, "dim long, shard long, s_ids binary, s binary")
 
     def solve(batches):
         for b in batches:
-            for d, q_ids, floors, q, s_ids, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                q_ids, s_ids, floors = np.frombuffer(q_ids, np.int64), np.frombuffer(s_ids, np.int64), np.frombuffer(floors)
+            for d, q_ids, q_keys, floors, q, s_ids, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q_ids, q_keys, s_ids, floors = np.frombuffer(q_ids, np.int64), np.frombuffer(q_keys, np.int64), np.frombuffer(s_ids, np.int64), np.frombuffer(floors)
                 q, s = np.frombuffer(q, np.int64).reshape(len(q_ids), d), np.frombuffer(s, np.int64).reshape(len(s_ids), d)
-                exact = d == 0 or d * float(np.abs(q).max()) * float(np.abs(s).max()) < 2**53
-                score = (q.astype(np.float64) @ s.T.astype(np.float64)).astype(np.int64) if exact else q @ s.T
-                out: tuple[list, list, list] = ([], [], [])
+                score = _products(q, s)
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 for i, own in enumerate(score):
                     may = np.flatnonzero((own >= floors[i]) & (s_ids != q_ids[i]))
                     may = may[np.lexsort((s_ids[may], -own[may]))[:k]]
-                    for to, v in zip(out, (np.full(len(may), q_ids[i]), s_ids[may], own[may]), strict=True):
+                    for to, v in zip(out, (np.full(len(may), q_ids[i]), np.full(len(may), q_keys[i]), s_ids[may], own[may]), strict=True):
                         to.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
-
-    met = routed.join(tiled, ["dim", "cell"]).select("dim", "q_ids", "floors", "q", "s_ids", "s").mapInArrow(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "key", "vec_id", "score"])
+
+    met = routed.join(tiled, ["dim", "shard"]).select("dim", "q_ids", "q_keys", "floors", "q", "s_ids", "s").mapInArrow(solve, "query_id long, key long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if owners.isEmpty():
+        return best.select("query_id", "rank", "vec_id", "score")
+    copies = asked_copies(rows, is_query)
+    return best.join(if_few(copies), ["query_id", "key"], "left").select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))).alias("copy")).drop("copy")
+
+
+def asked_copies(rows: DataFrame, is_query: Column) -> DataFrame:
+    """query_id, key, copies of the query rows that are equal."""
+    return rows.where(is_query).groupBy(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("key")).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def _products(q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Inner products of all rows: exact, by way of floats where these hold them, and at most LARGEST either way."""
+    bound = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(s).max(initial=0))
+    if bound < 2**53:
+        return (q.astype(np.float64) @ s.T.astype(np.float64)).astype(np.int64)
+    if bound < 2**63:
+        return q @ s.T
+    return np.clip(q.astype(object) @ s.T.astype(object), -int(LARGEST), int(LARGEST)).astype(np.int64)

@@ -302,12 +302,16 @@ def test_search_with_repeated_queries(spark, times, monkeypatch):
     x = np.random.default_rng(3).standard_normal((700, 16))
     rows = [(50 * i + 1, [float(c) for c in v], 1) for i, v in enumerate(x)]
     rows += [(i, [float(10 * c) for c in x[j]], 1) for j, i in enumerate(own) for _ in range(times)]
-    able = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, _ in rows]
-    got = defaultdict(list)
-    for r in voronoi.search(spark, spark.createDataFrame(rows, EMB), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    want = {q: [(s, -p) for p, s in sorted((-int(v @ u), s) for i, v in able if i == q for s, u in able if s != q)[:5]] for q in own}
-    assert dict(got) == want
+    rows += [(own[0], [float(-c) for c in x[5]], 1), (2, [1e30] * 16, 1), (3, [-1e30] * 16, 1)]  # another vector of a query's id, and scores beyond 64 bits
+    able = [(i, [int(c) for c in np.clip(np.floor(256 * np.array(v, np.float32).astype(float)), -voronoi.LARGEST, voronoi.LARGEST)]) for i, v, _ in rows]
+    got = [tuple(r) for r in voronoi.search(spark, spark.createDataFrame(rows, EMB), F.col("vec_id") % 50 == 0).collect()]
+    most = int(voronoi.LARGEST)
+    want = []
+    for q, v in able:
+        if q % 50 == 0:
+            scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v, u, strict=True)))), s) for s, u in able if s != q)
+            want += [(q, k + 1, s, -x) for k, (x, s) in enumerate(scores[:5])]
+    assert sorted(got) == sorted(want)
 
 
 def test_lattice_decoding():
