@@ -15,7 +15,10 @@ best last piece of the prefix:
 
 Decoding looks up each id's bytes. Both directions follow the model file's
 settings for a leading blank, byte fallback and unknown pieces; models with a
-normalizer other than identity are refused.
+normalizer other than identity, or with user-defined pieces, are refused, and so
+are byte-pair models with unused pieces. Unused pieces of a unigram model match
+nothing. Memory is bounded by bytes: states of a word of any length take 16 bytes
+a character, and only those of short words are shared and kept.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-#: Words whose ids a worker keeps; then it starts anew.
-CACHE_WORDS = 500_000
+#: Bytes of words and ids that a worker keeps; then it starts anew. Longer words are encoded by themselves and not kept.
+CACHE_BYTES = 96 << 20
+LONG = 256
+#: Pairs of pieces that a worker keeps, about 200 bytes each.
+PAIRS = 500_000
 MARKED = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-#: The kinds of pieces in a model file that text can match: normal, user-defined, unused.
-MATCHED = (1, 4, 5)
+#: The kinds of pieces in a model file.
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
 class Model:
@@ -55,13 +62,17 @@ class Model:
         self.prefix = norm.add_dummy_prefix
         self.unk = proto.trainer_spec.unk_id
         self.fallback = proto.trainer_spec.byte_fallback
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in MATCHED}
+        kinds = {p.type for p in proto.pieces}
+        if USER_DEFINED in kinds or (self.merges and UNUSED in kinds):
+            raise ValueError("models with user-defined pieces, and byte-pair models with unused ones, aren't supported")
+        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.score = [p.score for p in proto.pieces]
         # a unigram model's unknown character scores this much below its worst piece
-        self.unknown_score = min((p.score for p in proto.pieces if p.type == 1), default=0.0) - 10.0
-        self.of_byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
+        self.unknown_score = min((p.score for p in proto.pieces if p.type == NORMAL), default=0.0) - 10.0
+        self.of_byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.text = [p.piece for p in proto.pieces]
-        self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else proto.trainer_spec.unk_surface.encode() if p.type == 2 else p.piece.replace(BLANK, " ").encode() for p in proto.pieces]
+        said = {CONTROL: b"", UNKNOWN: proto.trainer_spec.unk_surface.encode()}
+        self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else said.get(p.type, p.piece.replace(BLANK, " ").encode()) for p in proto.pieces]
         crossing = [p for p in self.ids if re.search(f"[^{BLANK}]{BLANK}", p)]
         if crossing:
             raise ValueError(f"pieces reach over a word's end: {crossing[:3]}")
@@ -73,6 +84,7 @@ class Model:
             node[""] = i
         self.stable: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _merge(self, text: str) -> list[str]:
         """Byte-pair merging: the adjacent pair whose union scores highest, the leftmost of equals, until none is a piece."""
@@ -94,7 +106,7 @@ class Model:
         if held is None:
             left = [self.text[a]] if a >= 0 else []
             held = self.stable[a, b] = self._merge("".join(left) + self.text[b]) == [*left, self.text[b]]
-            if len(self.stable) > 4 * CACHE_WORDS:
+            if len(self.stable) > PAIRS:
                 self.stable.clear()
         return held
 
@@ -114,13 +126,49 @@ class Model:
                     best = (piece, start, total)
         return best
 
+    def _grow(self, grown, c: str, n: int) -> tuple[list, list]:
+        """The pieces that may still grow after character n (from 1), and those that end there, longest first."""
+        more, ends = [], []
+        for start, node in (*grown, (n - 1, self.root)):
+            node = node.get(c)
+            if node is not None:
+                more.append((start, node))
+                piece = node.get("")
+                if piece is not None:
+                    ends.append((start, piece))
+        return more, ends
+
+    def _ids(self, word: str, back) -> bytes:
+        """The ids of a word's pieces; back(n): last piece and its start for n characters."""
+        out, n = array("I"), len(word)
+        while n:
+            piece, start = back(n)
+            if piece >= 0:
+                out.append(piece)
+            elif self.fallback:
+                out.extend(self.of_byte[x] for x in reversed(word[start:n].encode()))
+            elif not out or out[-1] != self.unk:  # neighbours that are unknown are one
+                out.append(self.unk)
+            n = start
+        out.reverse()
+        return out.tobytes()
+
+    def long(self, word: str) -> bytes:
+        """The ids of one word of any length."""
+        states, grown = _States(), []
+        for n, c in enumerate(word, 1):
+            grown, ends = self._grow(grown, c, n)
+            states.append(self._last(ends, states, n, c))
+        return self._ids(word, lambda n: (states.piece[n], states.start[n]))
+
     def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known, in sorted order."""
-        if len(self.known) > CACHE_WORDS:
+        """Encodes the words that aren't known, and aren't long, in sorted order."""
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         states: list = [((), -1, 0, 0.0)]  # growing pieces, last piece, its start, score
         path = ""
-        for word in sorted(w for w in words if w not in self.known):
+        for word in sorted(w for w in words if w not in self.known and len(w) <= LONG):
             same = 0
             for a, b in zip(path, word):  # noqa: B905
                 if a != b:
@@ -128,28 +176,11 @@ class Model:
                 same += 1
             del states[same + 1 :]
             for n in range(same + 1, len(word) + 1):
-                c = word[n - 1]
-                grown, ends = [], []
-                for start, node in (*states[n - 1][0], (n - 1, self.root)):
-                    node = node.get(c)
-                    if node is not None:
-                        grown.append((start, node))
-                        piece = node.get("")
-                        if piece is not None:
-                            ends.append((start, piece))
-                states.append((grown, *self._last(ends, states, n, c)))
+                grown, ends = self._grow(states[n - 1][0], word[n - 1], n)
+                states.append((grown, *self._last(ends, states, n, word[n - 1])))
             path = word
-            out, n = [], len(word)
-            while n:
-                _, piece, start, _ = states[n]
-                if piece >= 0:
-                    out.append(piece)
-                elif self.fallback:
-                    out += [self.of_byte[x] for x in reversed(word[start:n].encode())]
-                elif not out or out[-1] != self.unk:  # neighbours that are unknown are one
-                    out.append(self.unk)
-                n = start
-            self.known[word] = np.array(out[::-1], np.uint32).tobytes()
+            own = self.known[word] = self._ids(word, lambda n: states[n][1:3])
+            self.held += 160 + 4 * len(word) + len(own)  # a string's and an entry's own bytes besides
 
     def marked(self, text: str) -> list[str]:
         """The text's words, each with its blanks before it."""
@@ -158,13 +189,33 @@ class Model:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.marked(t) for t in texts]
         self.learn({w for s in split for w in s})
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, s)), np.uint32) for s in split]
+
+        def ids(words: list[str]) -> bytes:
+            if max(map(len, words), default=0) <= LONG:
+                return b"".join(map(self.known.__getitem__, words))
+            return b"".join(self.known[w] if len(w) <= LONG else self.long(w) for w in words)
+
+        return [np.frombuffer(ids(s), np.uint32) for s in split]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+class _States:
+    """The states of a long word, in columns; `states[n]` is as in `Model.learn`."""
+
+    def __init__(self):
+        self.piece, self.start, self.score = array("i", [-1]), array("q", [0]), array("d", [0.0])
+
+    def append(self, state: tuple[int, int, float]) -> None:
+        for column, value in zip((self.piece, self.start, self.score), state, strict=True):
+            column.append(value)
+
+    def __getitem__(self, n: int) -> tuple:
+        return (), self.piece[n], self.start[n], self.score[n]
+
+
 _models: dict[str, Model] = {}
 
 

@@ -102,3 +102,29 @@ def test_features_of_long_texts(long_text):
     assert np.isclose(got["capital_rate"], sum(65 <= c <= 90 for c in bytes_) / letters)
     runs = sum(bytes_[i] == bytes_[i - 1] == bytes_[i - 2] and (chr(bytes_[i]).isascii() and chr(bytes_[i]).isalpha() or bytes_[i] >= 128) for i in range(2, len(bytes_)))
     assert np.isclose(got["run_rate"], runs / len(bytes_))
+
+
+def test_pieces_of_long_words(spark):
+    """Words of up to a million characters, in bounded memory, as the library encodes them."""
+    import sentencepiece
+
+    from palimpsest.llm import pieces
+
+    path = P.path("piece_bpe_32k.model")
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(2)
+    texts = ["漢字かな交じり文" * 400, "".join(rng.choice("abcdefghij") for _ in range(30_000)), "a" * 255 + " " + "b" * 256 + " " + "c" * 257, "x" * 5000 + "é" * 3000 + "\u0001" * 300]
+    m = pieces.model(path)
+    for t, ids in zip(texts, m.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(t) and m.decode(ids) == t
+    word = "".join(rng.choice("abcdef") for _ in range(1_000_000))
+    assert m.decode(m.encode([word])[0]) == word and all(len(w) <= pieces.LONG for w in m.known)
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    from palimpsest.llm import pieces
+
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 100_000)
+    m, rng = pieces.Model(P.path("piece_bpe_32k.model")), random.Random(3)
+    for _ in range(20):
+        m.encode([" ".join("".join(rng.choice("abcdef") for _ in range(20)) for _ in range(200))])
+        assert m.held < 100_000 + 200 * 500 and m.held >= sum(len(v) for v in m.known.values())
