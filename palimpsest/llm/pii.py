@@ -228,19 +228,28 @@ def totals(docs: DataFrame, wanted: DataFrame, most: int = FEW) -> DataFrame:
     held = [r["pattern"] for r in wanted.limit(most + 1).collect()]  # 8 bytes each
     among = np.sort(np.array(held, np.int64)) if len(held) <= most else None
 
-    def work(batches):
+    def each(batches):
         for b in batches:
             for _, _, data, offs in H.slices(b.column(0)):
-                found = np.concatenate(contexts(data, offs)).view(np.int64)
-                if among is not None:
-                    if not len(among):
-                        continue
-                    at = np.searchsorted(among, found)
-                    at[at == len(among)] = 0
-                    found = found[among[at] == found]
-                pattern, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], ["pattern", "n"])
+                yield np.concatenate(contexts(data, offs)).view(np.int64)
+
+    def rows(pattern: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], ["pattern", "n"])
+
+    def looked_up(batches):  # a task's counts are one array, and leave it once
+        n = np.zeros(len(among) + 1, np.int64)
+        for found in each(batches):
+            at = np.searchsorted(among, found)
+            at[at == len(among)] = 0
+            n += np.bincount(at[among[at] == found] if len(among) else [], minlength=len(n))
+        had = np.flatnonzero(n)
+        yield rows(among[had], n[had])
+
+    def all_of(batches):
+        for found in each(batches):
+            yield rows(*np.unique(found, return_counts=True))
 
+    work = looked_up if among is not None else all_of
     counted = docs.select("text").mapInArrow(work, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     return counted if among is not None else counted.join(wanted, "pattern", "left_semi")
 
