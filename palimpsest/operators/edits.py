@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.plans.scratch import Scratch
@@ -35,29 +35,26 @@ def push(edges: DataFrame, edits: DataFrame) -> DataFrame:
     return edges.select(*EDGE).unionByName(new.withColumn("child_index", F.col("child_index").cast(edges.schema["child_index"].dataType)))
 
 
-def reindexed(edges: DataFrame) -> DataFrame:
-    """Edges with positions counted anew from 0 in each list."""
-    return edges.withColumn("child_index", F.row_number().over(Window.partitionBy("parent_id").orderBy("child_index")) - 1)
-
-
 def orphans(edges: DataFrame, swapped: DataFrame, replacement: DataFrame) -> DataFrame:
     """(id) of the nodes that go when the lists of `swapped` (id) are replaced by `replacement` (parent_id, child_index, child_id).
 
     A child goes if each of its parents is a swapped node or goes itself, and no
-    replacement names it; so do its children, and so on.
+    replacement names it; so do its children, and so on. Each edge is looked at
+    once, when its parent goes: a node goes when as many entries have gone as
+    name it.
     """
     scratch = Scratch(edges.sparkSession, "orphans")
-    kept = replacement.select(F.col("child_id").alias("id")).union(replacement.select("parent_id")).union(swapped.select("id")).distinct()
-    gone = scratch.put(swapped.select("id"))
-    new, out = gone, None
+    pairs = scratch.put(edges.select("parent_id", "child_id"))
+    kept = scratch.put(replacement.select(F.col("child_id").alias("id")).union(replacement.select("parent_id")).union(swapped.select("id")).distinct())
+    entries = scratch.put(pairs.groupBy(F.col("child_id").alias("id")).agg(F.count("*").alias("n")).join(kept, "id", "left_anti"))
+    new, lost, out = scratch.put(swapped.select("id").distinct()), None, None
     while not new.isEmpty():
-        near = edges.join(new.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(F.col("child_id").alias("id")).distinct()
-        near = near.join(kept, "id", "left_anti").join(gone, "id", "left_anti")
-        others = edges.join(near.select(F.col("id").alias("child_id")), "child_id", "left_semi").join(gone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
-        held = scratch.put(near.join(others.select(F.col("child_id").alias("id")).distinct(), "id", "left_anti"))
-        gone = gone.unionByName(held)
-        out = held if out is None else out.unionByName(held)
-        new = held
+        cut = pairs.join(new.select(F.col("id").alias("parent_id")), "parent_id").groupBy(F.col("child_id").alias("id")).agg(F.count("*").alias("cut"))
+        cut = scratch.put(cut)
+        lost = cut if lost is None else lost.unionByName(cut)
+        all_cut = lost.join(cut.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("cut").alias("cut"))
+        new = scratch.put(all_cut.join(entries, "id").where("cut = n").select("id"))
+        out = new if out is None else out.unionByName(new)
     return out if out is not None else swapped.select("id").where("false")
 
 

@@ -116,11 +116,25 @@ def blank_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def revisits(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, revisits): whether going down from the root meets some node twice, by a cycle, a diamond or a repeated child."""
-    reach = descendants(edges, roots).select("root", "node")
-    entries = reach.join(edges.select(F.col("parent_id").alias("node"), "child_id"), "node").select("root", F.col("child_id").alias("node"))
-    met = entries.unionByName(roots.select("root", F.col("root").alias("node"))).groupBy("root", "node").agg(F.count("*").alias("n"))
-    return met.groupBy("root").agg((F.max("n") > 1).alias("revisits"))
+    """(root, revisits): whether going down from the root meets some node twice, by a cycle, a diamond or a repeated child.
+
+    A root whose way has met a node twice isn't followed any further, so what is
+    kept per root is a tree.
+    """
+    scratch = Scratch(edges.sparkSession, "revisits")
+    down = scratch.put(edges.select(F.col("parent_id").alias("node"), "child_id"))
+    new = scratch.put(roots.select("root", F.col("root").alias("node")).distinct())
+    starts, seen, done = new.select("root"), new, None
+    while not _empty(new):
+        step = new.join(down, "node").groupBy("root", F.col("child_id").alias("node")).agg(F.count("*").alias("n"))
+        met = step.join(seen.withColumn("old", F.lit(True)), ["root", "node"], "left")
+        step = scratch.put(met.select("root", "node", ((F.col("n") > 1) | F.col("old").isNotNull()).alias("twice")))
+        hit = scratch.put(step.where("twice").select("root").distinct())
+        done = hit if done is None else done.unionByName(hit)
+        new = step.join(hit, "root", "left_anti").select("root", "node")
+        seen = seen.unionByName(new)
+    hits = starts.where("false") if done is None else done
+    return starts.join(hits.distinct().withColumn("r", F.lit(True)), "root", "left").select("root", F.col("r").isNotNull().alias("revisits"))
 
 
 def cyclic(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -140,10 +154,35 @@ def cyclic(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def shared(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, shared): whether some node below the root has more than one parent entry."""
-    many = edges.groupBy("child_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("child_id").alias("node"))
-    hit = descendants(edges, roots).where("root <> node").join(many, "node", "left_semi").select("root").distinct()
-    return roots.select("root").distinct().join(hit.withColumn("s", F.lit(True)), "root", "left").select("root", F.col("s").isNotNull().alias("shared"))
+    """(root, shared): whether some node below the root, other than itself, has more than one parent entry.
+
+    One pass upwards over the graph, whatever the number of roots: nodes with
+    several parents are told to all that is above them, and as two of them say
+    all that can be asked, no node keeps or passes on more.
+    """
+    scratch = Scratch(edges.sparkSession, "shared")
+    up = scratch.put(edges.select(F.col("child_id").alias("node"), "parent_id"))
+    many = up.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    two = lambda df: df.groupBy("node").agg(F.array_distinct(F.array(F.min("w"), F.max("w"))).alias("ws"))
+    told = scratch.put(two(up.join(many, "node").select(F.col("parent_id").alias("node"), F.col("node").alias("w"))))
+    new, rounds = told, [told]
+    while not _empty(new):
+        asked = two(new.select("node", F.explode("ws").alias("w")).join(up, "node").select(F.col("parent_id").alias("node"), "w"))
+        had = rounds[0] if len(rounds) == 1 else _union(rounds)
+        had = had.groupBy("node").agg(F.flatten(F.collect_list("ws")).alias("had"))  # two at most
+        fresh = F.when(F.col("had").isNull(), F.col("ws")).otherwise(F.slice(F.array_except("ws", "had"), 1, 1))
+        able = F.col("had").isNull() | (F.size("had") < 2)
+        new = scratch.put(asked.join(had, "node", "left").where(able).select("node", fresh.alias("ws")).where(F.size("ws") > 0))
+        rounds.append(new)
+    said = _union(rounds).select(F.col("node").alias("root"), F.explode("ws").alias("w")).where("w <> root").select("root").distinct()
+    return roots.select("root").distinct().join(said.withColumn("s", F.lit(True)), "root", "left").select("root", F.col("s").isNotNull().alias("shared"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _edge_leaves(nodes: DataFrame, edges: DataFrame, links: DataFrame, full: DataFrame, before: bool, scratch: Scratch) -> DataFrame:

@@ -1,12 +1,15 @@
 """The change log: kv_log(slot, key, value, is_removed, commit_ts, seq), `seq` ascending.
 
-Snapshots, histories, trash and merges are aggregates over it, combined before
-the shuffle, so a key with a third of all versions costs no task more than others.
+Snapshots, trash and merges are aggregates over it, combined before the shuffle,
+so a key with a third of all versions costs no task more than others. `versions`
+numbers all versions of a key, and so has to sort one key's in one task, which
+Spark does on disk; `commit_crc` gathers one transaction's entries, whose bytes
+the CRC is defined over in their order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["slot", "key"]
@@ -105,8 +108,3 @@ def recover(entries: DataFrame) -> DataFrame:
 def size(log: DataFrame) -> DataFrame:
     """Entries and bytes of the values."""
     return log.agg(F.count("*").alias("n_entries"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("n_bytes"))
-
-
-def times_ok(before: Column, now: Column) -> Column:
-    """A clock that never goes back."""
-    return F.greatest(before, now)

@@ -43,8 +43,9 @@ def tables(held: DataFrame) -> tuple[DataFrame, DataFrame]:
 class Transaction:
     def __init__(self, engine: Engine):
         self.engine, self.spark = engine, engine.spark
-        self.seq = engine.next_seq()
-        self.log = log.as_of(engine.log(), seq=self.seq)
+        self.seen = engine.store.commits()  # what is committed later isn't seen
+        self.seq = self.seen[-1]["first_seq"] + self.seen[-1]["span"] if self.seen else 0
+        self.log = engine.store.rows(self.seen)
         self.writes: dict[tuple[int, str], dict | None] = {}
         self.reads: set[tuple[int, str]] = set()
 
@@ -111,9 +112,8 @@ class Transaction:
             lists.setdefault(p, []).append(c)
         for n in nodes:
             self._put(n[0], dict(zip(("kind", "text", "layout", "style_kind", "styles"), n[1:], strict=True)) | {"children": lists.get(n[0], [])})
-        for c in {c for children in lists.values() for c in children} - {n[0] for n in nodes}:
-            if self.get(c) is None:
-                self.restore(c)
+        for c in self._missing(sorted({c for children in lists.values() for c in children} - {n[0] for n in nodes})):
+            self.restore(c)
         return root
 
     def add(self, node: dict | str) -> str:
@@ -130,7 +130,8 @@ class Transaction:
         for r in lost.where(F.col("id") != ids.ROOT).collect():
             self._put(r["id"], None)
 
-    def _children(self, i: str, change: Callable[[list[str]], None]) -> None:
+    def update(self, i: str, change: Callable[[list[str]], None]) -> None:
+        """Lets `change` edit a list's children in place, and swaps the list for the result."""
         held = self.get(i)
         if held is None:
             raise IdNotFound(i)
@@ -142,34 +143,58 @@ class Transaction:
 
     def push(self, i: str, child: dict | str) -> str:
         c = self._new(child)
-        self._children(i, lambda held: held.append(c))
+        self.update(i, lambda held: held.append(c))
         return c
 
     def insert(self, i: str, at: int, child: dict | str) -> str:
         c = self._new(child)
-        self._children(i, lambda held: held.insert(at, c))
+        self.update(i, lambda held: held.insert(at, c))
         return c
 
     def replace(self, i: str, at: int, child: dict | str) -> str:
         c = self._new(child)
-        self._children(i, lambda held: held.__setitem__(at, c))
+        self.update(i, lambda held: held.__setitem__(at, c))
         return c
 
     def remove(self, i: str, at: int) -> None:
-        self._children(i, lambda held: held.pop(at))
+        self.update(i, lambda held: held.pop(at))
 
     def restore(self, i: str) -> bool:
-        """Brings a node and what was removed below it back; False if it isn't removed."""
+        """Brings a node and what was removed below it back; False if it isn't removed. One read per level, not per node."""
         if self.get(i) is not None:
             return False
-        trash = self.get_in_trash(i)
-        if trash is None:
+        if self.get_in_trash(i) is None:
             raise IdNotFound(i)
-        self._put(i, trash)
-        for c in trash["children"]:
-            self.restore(c)
+        level = [i]
+        while level:
+            held = self._trash(level)
+            for c in level:
+                if c in held:
+                    self._put(c, held[c])
+            below = sorted({c for v in held.values() for c in v["children"]})
+            level = self._missing(below)
         return True
 
+    def _present(self, keys: list[str]) -> set[str]:
+        """Which of some nodes there are; all are read."""
+        asked = [k for k in keys if (NODE, k) not in self.writes]
+        self.reads |= {(NODE, k) for k in asked}
+        there = {k for k in keys if self.writes.get((NODE, k)) is not None}
+        return there | {r["key"] for r in log.latest(self._of(asked)).select("key").collect()} if asked else there
+
+    def _missing(self, keys: list[str]) -> list[str]:
+        there = self._present(keys) if keys else set()
+        return [k for k in keys if k not in there]
+
+    def _of(self, keys: list[str]) -> DataFrame:
+        """The log of some nodes."""
+        wanted = self.spark.createDataFrame([(k,) for k in keys], "key string")
+        return self.log.where(F.col("slot") == NODE).join(F.broadcast(wanted), "key", "left_semi")
+
+    def _trash(self, keys: list[str]) -> dict[str, dict]:
+        """The last values of some nodes that are removed; an id that was never there is left out."""
+        return {r["key"]: json.loads(r["value"]) for r in log.unremoved(self._of(keys)).collect()}
+
     # -- views and replication
 
     def tile(self, i: str) -> dict[str, list]:
@@ -278,21 +303,17 @@ class Transaction:
 
 
 class Engine:
-    """A store in a folder."""
+    """A store in a folder. Several engines, in several sessions, may have the same one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        spark.createDataFrame([], store.LOG).write.mode("append").parquet(f"{path}/log")
-        if self.log().isEmpty():
-            with self.tx() as t:
-                t._put(ids.ROOT, {"kind": "List", "text": None, "layout": "Page", "style_kind": None, "styles": None, "children": []})
+        self.store = store.Store(spark, path)
+        root = {"kind": "List", "text": None, "layout": "Page", "style_kind": None, "styles": None, "children": []}
+        now = int(time.time() * 1000)
+        self.store.add(lambda held, first: None if held else spark.createDataFrame([(NODE, ids.ROOT, json.dumps(root), False, now, first)], store.LOG))
 
     def log(self) -> DataFrame:
-        return store.open_log(self.spark, self.path)
-
-    def next_seq(self) -> int:
-        top = self.log().agg(F.max("seq")).first()[0]
-        return 0 if top is None else top + 1
+        return self.store.read()
 
     def size(self) -> int:
         return log.size(self.log()).first()["n_bytes"]
@@ -301,18 +322,28 @@ class Engine:
         return Transaction(self)
 
     def commit(self, t: Transaction) -> None:
-        """Appends a transaction's writes; raises Conflict if something that it read has changed. Only reading never conflicts."""
+        """Commits a transaction's writes; raises Conflict if something that it read has changed. Only reading never conflicts.
+
+        The check and the commit are one step: if another writer commits in
+        between, the number is taken, and the check is made again with what that
+        one has written.
+        """
         if not t.writes:
             return
-        held = self.log()
-        if t.reads:
-            reads = self.spark.createDataFrame([(0, s, k, t.seq) for s, k in t.reads], "tx_id int, slot int, key string, seq long")
-            if log.conflicts(reads, held).first()["conflict"]:
-                raise Conflict("a node that was read has changed")
-        last = log.last_updated(held).first()[0] or 0
         rows = [(s, k, None if v is None else json.dumps(v), v is None, i) for i, ((s, k), v) in enumerate(t.writes.items())]
         writes = self.spark.createDataFrame(rows, "slot int, key string, value string, is_removed boolean, n long")
-        store.append(log.stage(held.where("false"), writes, max(last, int(time.time() * 1000)), self.next_seq()), self.path)
+
+        def made(held: list[dict], first: int) -> DataFrame:
+            seen = t.seen[-1]["number"] if t.seen else -1
+            late = [c for c in held if c["number"] > seen]
+            if late and t.reads:
+                reads = self.spark.createDataFrame([(0, s, k, t.seq) for s, k in t.reads], "tx_id int, slot int, key string, seq long")
+                if log.conflicts(reads, self.store.rows(late)).first()["conflict"]:
+                    raise Conflict("a node that was read has changed")
+            now = max(int(time.time() * 1000), held[-1]["commit_ts"] if held else 0)
+            return log.stage(self.spark.createDataFrame([], store.LOG), writes, now, first)
+
+        self.store.add(made)
         t.writes.clear()
 
     @contextmanager
@@ -322,7 +353,10 @@ class Engine:
         yield t
         self.commit(t)
 
-    def merge(self, to: str) -> Engine:
-        """The store without its history, in another folder."""
-        store.compact(self.spark, self.path, to)
-        return Engine(self.spark, to)
+    def merge(self, to: str | None = None) -> Engine:
+        """Drops the history and the trash: in place, as one commit that replaces all before it, or in another folder."""
+        if to is not None:
+            store.compact(self.spark, self.path, to)
+            return Engine(self.spark, to)
+        self.store.add(lambda held, first: log.merge(self.store.rows(held)), merge=True)
+        return self

@@ -1,9 +1,24 @@
-"""Stores of the graph: Parquet folders with a pointer that is swapped, in-memory tables, node JSON and episodes."""
+"""Stores of the graph: a change log of atomic commits, in-memory tables, node JSON and episodes.
+
+A store is a folder. `data` has a Parquet folder per commit, and `commits` a file
+per commit, named by its number, which says which data folder it adds, what
+number its rows begin with and when it was. A commit is there when its file is:
+the file is made whole under another name and then given its own, which fails if
+that is taken, so of two writers of one number one wins and the other looks
+again. A merge is a commit that replaces all before it, so the swap is one file,
+too. What no commit names is left over from a writer that failed, and is never read.
+
+Giving a file a name that must be free is atomic on local disks and on HDFS;
+object stores without a conditional rename need a single writer.
+"""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Callable
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +36,156 @@ def in_memory(spark: SparkSession, nodes: list[tuple], edges: list[tuple]) -> tu
     return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 
 
+#: The longest key and the longest value that a log holds, in bytes.
+MOST_KEY, MOST_VALUE = 1 << 16, 1 << 24
+
+
+class Store:
+    """The change log in a folder. Commits are dicts: number, folder, first_seq, entries, commit_ts, merge."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._known: dict[int, dict] = {}
+
+    # -- files
+
+    def _at(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        where, fs = self._at(folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _create(self, name: str, text: str) -> bool:
+        """Makes a file with its whole content, unless there is one of the name."""
+        draft, fs = self._at(f"{os.path.dirname(name)}/_{uuid.uuid4().hex}")
+        to, _ = self._at(name)
+        out = fs.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.getScheme() != "file":
+            made = not fs.exists(to) and fs.rename(draft, to)
+        else:
+            a, b = (unquote(urlparse(fs.makeQualified(x).toString()).path) for x in (draft, to))
+            try:
+                os.link(a, b)  # renaming would replace the other writer's file
+                made = True
+            except FileExistsError:
+                made = False
+        if not made or fs.getScheme() == "file":
+            fs.delete(draft, False)
+        return made
+
+    def _text(self, name: str) -> str:
+        where, fs = self._at(name)
+        held = fs.open(where)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+        finally:
+            held.close()
+
+    # -- commits
+
+    def commits(self) -> list[dict]:
+        """The commits from the last merge on, oldest first. Files that were read before aren't read again."""
+        numbers = sorted(int(n) for n in self._names("commits") if n.isdigit())
+        out: list[dict] = []
+        for number in reversed(numbers):
+            if number not in self._known:
+                self._known[number] = json.loads(self._text(f"commits/{number:020d}")) | {"number": number}
+            out.append(self._known[number])
+            if out[-1]["merge"]:
+                break
+        return out[::-1]
+
+    def rows(self, commits: list[dict]) -> DataFrame:
+        """The log's rows of some commits."""
+        folders = [f"{self.path}/data/{c['folder']}" for c in commits if c["entries"]]
+        return self.spark.read.schema(LOG).parquet(*folders) if folders else self.spark.createDataFrame([], LOG)
+
+    def read(self) -> DataFrame:
+        return self.rows(self.commits())
+
+    def add(self, made: Callable[[list[dict], int], DataFrame | None], merge: bool = False) -> bool:
+        """Commits the rows that `made` returns for the commits there are and the number that the first row gets.
+
+        Where another writer has taken the number, `made` is asked again with
+        that one's commit as well; it can raise an error to give up, or return
+        None if there is nothing to commit.
+        """
+        while True:
+            held = self.commits()
+            last = held[-1] if held else {"number": -1, "first_seq": 0, "span": 0, "commit_ts": 0}
+            first = last["first_seq"] + last["span"]
+            rows = made(held, first)
+            if rows is None:
+                return False
+            folder = uuid.uuid4().hex
+            wrong = F.when(F.octet_length("key") > MOST_KEY, F.raise_error(F.lit("a key is too long"))).when(F.octet_length("value") > MOST_VALUE, F.raise_error(F.lit("a value is too long")))
+            checked = rows.withColumn("key", F.coalesce(wrong.cast("string"), "key"))
+            checked.select("slot", "key", "value", "is_removed", "commit_ts", "seq").write.parquet(f"{self.path}/data/{folder}")
+            told = self.spark.read.schema(LOG).parquet(f"{self.path}/data/{folder}").agg(F.count("*").alias("n"), F.max("seq").alias("top"), F.max("commit_ts").alias("ts")).first()
+            top = max(first, 0 if told["top"] is None else told["top"] + 1)
+            said = {"folder": folder, "entries": told["n"], "first_seq": first, "span": top - first, "commit_ts": max(last["commit_ts"], told["ts"] or 0), "merge": merge}
+            if self._create(f"commits/{last['number'] + 1:020d}", json.dumps(said)):
+                return True
+            self._delete(f"data/{folder}")
+
+    def _delete(self, name: str) -> None:
+        where, fs = self._at(name)
+        fs.delete(where, True)
+
+    # -- the folder
+
+    def name(self) -> str:
+        return self.path.rpartition("/")[2]
+
+    def size(self) -> int:
+        """Bytes of the commits that are read."""
+        total = 0
+        for c in self.commits():
+            where, fs = self._at(f"data/{c['folder']}")
+            total += fs.getContentSummary(where).getLength()
+        return total
+
+    def is_empty(self) -> bool:
+        return not any(c["entries"] for c in self.commits())
+
+    def truncate(self, number: int) -> None:
+        """Takes back the commits from a number on, the last one first, so that what stays is always a whole log."""
+        for n in sorted((int(x) for x in self._names("commits") if x.isdigit()), reverse=True):
+            if n >= number:
+                self._delete(f"commits/{n:020d}")
+                self._known.pop(n, None)
+
+    def clean(self) -> int:
+        """Deletes what no reader of the present log needs: data and files of commits before the last merge, and of writers that failed. Only for a store that nobody writes."""
+        held = self.commits()
+        keep, first = {c["folder"] for c in held}, held[0]["number"] if held else 0
+        gone = [f"data/{n}" for n in self._names("data") if n not in keep]
+        gone += [f"commits/{n}" for n in self._names("commits") if not n.isdigit() or int(n) < first]
+        for name in gone:
+            self._delete(name)
+        return len(gone)
+
+    def purge(self) -> None:
+        """Deletes the store."""
+        self._delete("")
+        self._known.clear()
+
+
 def append(log: DataFrame, path: str) -> None:
-    """Appends rows of the change log to a store."""
-    log.select("slot", "key", "value", "is_removed", "commit_ts", "seq").write.mode("append").parquet(f"{path}/log")
+    """Commits rows of a change log, as they are, to a store."""
+    Store(log.sparkSession, path).add(lambda held, first: log)
 
 
 def open_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG).parquet(f"{path}/log")
+    return Store(spark, path).read()
 
 
 def compact(spark: SparkSession, path: str, to: str) -> DataFrame:
-    """Writes the merged log of a store to another place, and reads it."""
+    """Commits the merged log of a store to another one, and reads it."""
     from palimpsest.operators.log import merge
 
     append(merge(open_log(spark, path)), to)
@@ -105,7 +259,3 @@ EPISODE = f"{NODES}, children array<struct<child_index: int, child_id: string>>,
 
 def episodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EPISODE).parquet(f"{path}/*")
-
-
-def dumps(node: dict) -> str:
-    return json.dumps(node, ensure_ascii=False, separators=(",", ":"))

@@ -4,6 +4,7 @@ import pytest
 
 from palimpsest.functions.ids import ROOT
 from palimpsest.session import Conflict, Engine, IdNotFound
+from palimpsest.sources import store
 from palimpsest.sources.store import NodeError
 
 PAGE, CHAIN = "Page", "Chain"
@@ -77,3 +78,82 @@ def test_sync_refresh_and_broadcast(spark, tmp_path):
     with there.tx() as t:
         assert t.fetch(cast["broadcast_id"], episodes) > 0
         assert len(t.search("fresh words")) == 1
+
+
+def test_two_writers(spark, tmp_path):
+    """Whoever commits second looks again: it fails if it has read what changed, and else gets the next numbers."""
+    one, two = Engine(spark, str(tmp_path / "db")), Engine(spark, str(tmp_path / "db"))
+    with one.tx() as t:
+        a, b = t.add({"Text": "a"}), t.add({"Text": "b"})
+    first, late, blind = one.begin(), two.begin(), two.begin()
+    for t in (first, late):
+        t.get(a)
+        t._put(a, {"kind": "Text", "text": "new", "children": []})
+    blind._put(b, {"kind": "Text", "text": "blind", "children": []})
+
+    def between(engine, inner):
+        """The engine's next commit is overtaken after its check and before its file is made."""
+        create = engine.store._create
+
+        def overtaken(name, text):
+            engine.store._create = create
+            one.commit(inner)
+            return create(name, text)
+
+        engine.store._create = overtaken
+
+    between(two, first)
+    with pytest.raises(Conflict):
+        two.commit(late)
+    third = one.begin()
+    third._put("c", {"kind": "Text", "text": "c", "children": []})
+    between(two, third)
+    two.commit(blind)
+    rows = two.log().collect()
+    assert len({r["seq"] for r in rows}) == len(rows) == 6 and [c["number"] for c in two.store.commits()] == [0, 1, 2, 3, 4]
+    assert two.begin().get(b)["text"] == "blind" and one.begin().get(a)["text"] == "new" and one.begin().get("c")["text"] == "c"
+    names = {c["folder"] for c in one.store.commits()}
+    assert names == set(one.store._names("data"))  # what lost the race is gone
+
+
+def test_merge_in_place(spark, tmp_path):
+    db, other = Engine(spark, str(tmp_path / "db")), Engine(spark, str(tmp_path / "db"))
+    for text in ("x", "y", "z"):
+        t = db.begin()
+        t._put("n", {"kind": "Text", "text": text, "children": []})
+        db.commit(t)
+    old, before = other.begin(), other.size()
+    db.merge()
+    assert len(other.store.commits()) == 1 and 0 < other.size() < before
+    assert len(old.versions("n")) == 3 and len(other.begin().versions("n")) == 1 and other.begin().get("n")["text"] == "z"
+    old.get("n")
+    old._put("n", {"kind": "Text", "text": "late", "children": []})
+    other.commit(old)  # a merge changes no value, so it conflicts with nothing
+    assert db.begin().get("n")["text"] == "late" and db.store.clean() == 8
+    assert db.begin().get("n")["text"] == "late" and db.store.clean() == 0
+    db.store.truncate(5)
+    assert db.begin().get("n")["text"] == "z" and not db.store.is_empty() and db.store.name() == "db" and db.store.size() > 0
+    db.store.purge()
+    assert db.store.is_empty()
+
+
+def test_limits(spark, tmp_path):
+    held = store.Store(spark, str(tmp_path / "s"))
+    row = lambda k: spark.createDataFrame([(0, k, "v", False, 1, 0)], store.LOG)
+    with pytest.raises(Exception, match="a key is too long"):
+        held.add(lambda c, n: row("k" * 70_000))
+    assert held.commits() == [] and held.add(lambda c, n: None) is False and held.add(lambda c, n: row("k" * 60_000))
+    assert held.read().count() == 1
+
+
+def test_update(spark, tmp_path):
+    db = Engine(spark, str(tmp_path / "db"))
+    with db.tx() as t:
+        page = t.add({"List": PAGE, "children": [{"Text": x} for x in "abc"]})
+        a, b, c = t.get(page)["children"]
+        t.update(page, lambda held: held.sort(key=lambda i: [c, a, b].index(i)))
+        assert t.get(page)["children"] == [c, a, b]
+        with pytest.raises(NodeError):
+            t.update(a, lambda held: None)
+        with pytest.raises(IdNotFound):
+            t.update("none", lambda held: None)
