@@ -99,13 +99,20 @@ def talk_graph(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame,
     return nodes, down.unionByName(inner).unionByName(turns.select(F.col("turn_id").alias("parent_id"), F.lit(0).alias("child_index"), holder.alias("child_id")))
 
 
-def quote_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as pages of turns where equal turns are one shared text."""
-    from pyspark.sql import Window
+def line_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as pages of lines, where equal lines are one text that several pages share."""
+    rows = lines(table(spark, sf_dir, "documents"), "doc_id").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("page"), "line_ix", F.md5("line").alias("text_id"), "line")
+    texts = rows.groupBy("text_id").agg(F.min("line").alias("line"))
+    nodes = _node(rows.select("page").distinct(), F.col("page"), "List", layout="Page").unionByName(_node(texts, F.col("text_id"), "Text", F.col("line")))
+    return nodes, rows.select(F.col("page").alias("parent_id"), F.col("line_ix").cast("int").alias("child_index"), F.col("text_id").alias("child_id"))
+
+
+def item_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as lists of their lines, with ids made of their texts."""
+    from palimpsest.functions import ids
 
-    turns = _turns(spark, sf_dir).withColumn("text_id", F.md5("text"))
-    nodes = _node(turns.select("conv").distinct(), F.col("conv"), "List", layout="Page").unionByName(_node(turns.groupBy("text_id").agg(F.first("text").alias("text")), F.col("text_id"), "Text", F.col("text")))
-    return nodes, turns.select(F.col("conv").alias("parent_id"), (F.row_number().over(Window.partitionBy("conv").orderBy("turn")) - 1).alias("child_index"), F.col("text_id").alias("child_id"))
+    rows = table(spark, sf_dir, "benchmark").select(ids.from_text(F.concat(F.col("item_id").cast("string"), F.lit(":"), "text")).alias("parent_id"), F.posexplode(T.lines(F.col("text"))).alias("child_index", "line"))
+    return rows.select("parent_id", "child_index", ids.from_text(F.col("line")).alias("child_id"))
 
 
 def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

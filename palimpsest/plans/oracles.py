@@ -51,12 +51,27 @@ _OVER = f"""{TALK}, {_grams('talk', 'conv_id, turn, line_ix', 'g')},
 p AS (SELECT u.conv_id AS src_conv, u.turn AS src_turn, u.line_ix AS src_line, v.conv_id AS conv, v.turn AS turn, v.line_ix AS line, sum(least(u.n, v.n)) AS x FROM g u JOIN g v ON u.gram = v.gram AND (u.conv_id, u.turn, u.line_ix) <> (v.conv_id, v.turn, v.line_ix) GROUP BY ALL),
 z AS (SELECT p.*, octet_length(encode(a.line)) + 3 AS s, octet_length(encode(b.line)) + 3 AS m FROM p JOIN talk a ON (a.conv_id, a.turn, a.line_ix) = (src_conv, src_turn, src_line) JOIN talk b ON (b.conv_id, b.turn, b.line_ix) = (p.conv, p.turn, p.line))"""
 ORACLES["q_overlaps"] = f"WITH {_OVER} SELECT src_conv, src_turn, src_line, conv, turn, line, {_ABI} FROM z WHERE {_HALF}"
+ORACLES["q_overlap_topk"] = f"WITH {_OVER}, found AS (SELECT src_conv, src_turn, src_line, conv, turn, line, {_ABI} FROM z WHERE {_HALF}) SELECT src_conv, src_turn, src_line, conv, turn, line, a, b, i, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src_conv, src_turn, src_line ORDER BY i DESC, a DESC, b DESC, conv, turn, line) AS rank FROM found) WHERE rank <= 3"
 ORACLES["q_overlap_reverse"] = ORACLES["q_overlaps"]
 ORACLES["q_overlap_cross"] = f"""WITH {ITEM}, {DOC}, {_grams('items', 'item_id, line_ix', 't')}, {_grams('lines', 'doc_id, line_ix', 'g')},
 p AS (SELECT t.item_id, t.line_ix AS item_line, g.doc_id, g.line_ix, sum(least(t.n, g.n)) AS x FROM t JOIN g USING (gram) GROUP BY ALL),
 z AS (SELECT p.*, octet_length(encode(a.line)) + 3 AS s, octet_length(encode(b.line)) + 3 AS m FROM p JOIN items a ON a.item_id = p.item_id AND a.line_ix = p.item_line JOIN lines b ON b.doc_id = p.doc_id AND b.line_ix = p.line_ix)
 SELECT item_id, item_line, doc_id, line_ix, {_ABI} FROM z WHERE {_HALF}"""
 
+
+
+def _state(name: str, text: str) -> str:
+    """The overlaps of one state of the benchmark's lines, as `name`."""
+    return f"""{name}_l AS (SELECT item_id, line_ix, {text} AS line FROM items), {_grams(f'{name}_l', 'item_id, line_ix', f'{name}_g')},
+{name}_p AS (SELECT u.item_id AS src_item, u.line_ix AS src_line, v.item_id, v.line_ix, sum(least(u.n, v.n)) AS x FROM {name}_g u JOIN {name}_g v ON u.gram = v.gram AND (u.item_id, u.line_ix) <> (v.item_id, v.line_ix) GROUP BY ALL),
+{name}_z AS (SELECT p.*, octet_length(encode(a.line)) + 3 AS s, octet_length(encode(b.line)) + 3 AS m FROM {name}_p p JOIN {name}_l a ON a.item_id = src_item AND a.line_ix = src_line JOIN {name}_l b ON b.item_id = p.item_id AND b.line_ix = p.line_ix),
+{name} AS (SELECT src_item, src_line, item_id, line_ix, {_ABI} FROM {name}_z WHERE {_HALF})"""
+
+
+ORACLES["q_overlap_changes"] = f"""WITH {ITEM}, {_state('was', 'line')}, {_state('now', "CASE WHEN item_id % 3 = 0 THEN replace(line, 'e', '3') ELSE line END")}
+SELECT src_item, src_line, item_id, line_ix, coalesce(now.a, was.a) AS a, coalesce(now.b, was.b) AS b, coalesce(now.i, was.i) AS i, CASE WHEN was.i IS NULL THEN 'added' WHEN now.i IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM was FULL JOIN now USING (src_item, src_line, item_id, line_ix) WHERE (was.a, was.b, was.i) IS DISTINCT FROM (now.a, now.b, now.i)"""
+
 _LAST = "arg_max(struct_pack(value := value, is_removed := is_removed, commit_ts := commit_ts, seq := seq), seq)"
 
 
@@ -69,8 +84,8 @@ ORACLES["q_stream_latest"] = ORACLES["q_kv_latest"]
 ORACLES["q_kv_unremoved"] = f"WITH {EV}, {_latest('ev', 'NOT is_removed')} SELECT key, v.value AS value, v.commit_ts AS commit_ts FROM last"
 ORACLES["q_kv_versions"] = f"WITH {EV} SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS version_no, seq, is_removed FROM ev"
 ORACLES["q_kv_get_version"] = f"WITH {EV} SELECT key, CASE WHEN NOT is_removed THEN value END AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ev) WHERE n = 3"
-ORACLES["q_kv_as_of"] = f"WITH {EV}, {_latest('ev', f'commit_ts <= {AS_OF}')} SELECT key, v.value AS value, v.commit_ts AS commit_ts FROM last WHERE NOT v.is_removed"
-ORACLES["q_kv_before_seq"] = f"WITH {EV}, {_latest('ev', 'seq < 500')} SELECT key, v.value AS value, v.seq AS seq FROM last WHERE NOT v.is_removed"
+ORACLES["q_kv_as_of"] = f"WITH {EV}, {_latest('ev', 'commit_ts <= (SELECT (min(commit_ts) + max(commit_ts)) // 2 FROM ev)')} SELECT key, v.value AS value, v.commit_ts AS commit_ts FROM last WHERE NOT v.is_removed"
+ORACLES["q_kv_before_seq"] = f"WITH {EV}, {_latest('ev', 'seq < (SELECT (max(seq) + 1) // 2 FROM ev)')} SELECT key, v.value AS value, v.seq AS seq FROM last WHERE NOT v.is_removed"
 ORACLES["q_kv_keys"] = f"WITH {EV}, {_latest('ev')} SELECT key FROM last WHERE NOT v.is_removed"
 ORACLES["q_kv_last_updated"] = f"WITH {EV} SELECT max(commit_ts) AS last_updated FROM ev"
 ORACLES["q_kv_latest_version"] = f"WITH {EV} SELECT key, max(commit_ts) AS ts FROM ev GROUP BY key"
@@ -80,6 +95,12 @@ ORACLES["q_kv_monotonic"] = f"WITH {EV}, s AS (SELECT seq, commit_ts - (seq * 79
 ORACLES["q_kv_size"] = f"WITH {EV} SELECT count(*) AS n_entries, CAST(sum(octet_length(encode(value))) AS BIGINT) AS n_bytes FROM ev"
 ORACLES["q_tx_conflict"] = f"WITH {EV}, w AS (SELECT key, max(seq) AS newest FROM ev GROUP BY key) SELECT ev.seq // 2 AS tx_id, bool_or(newest >= ev.seq + 100) AS conflict FROM ev JOIN w USING (key) GROUP BY 1"
 
+# CRC-32 by its table, a byte at a time.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+ORACLES["q_tx_crc"] = f"""WITH {EV}, tx AS (SELECT seq // 10 AS tx_id, string_agg(hex(encode(value)), '' ORDER BY seq) AS h FROM ev GROUP BY 1),
+bytes AS (SELECT tx_id, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(1 + 2 * i AS BIGINT), 2) AS BIGINT)) AS b FROM tx)
+SELECT tx_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS crc FROM bytes, {_CRC_TABLE}"""
+
 ORACLES["q_parents"] = f"WITH {EDGES} SELECT child_id, count(*) AS n_parents, count(DISTINCT parent_id) AS n_distinct_parents FROM edges GROUP BY child_id"
 ORACLES["q_descendants"] = f"WITH RECURSIVE {EDGES}, d AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT d.root, e.child_id, d.depth + 1 FROM d JOIN edges e ON e.parent_id = d.node) SELECT root, node, CAST(min(depth) AS INT) AS depth FROM d GROUP BY root, node"
 ORACLES["q_descendants_until_links"] = f"WITH {TURNS}, {TLINES} SELECT DISTINCT conv AS root, conv AS node FROM turns UNION ALL SELECT conv, turn_id FROM turns UNION ALL SELECT conv, line_id FROM tlines WHERE role = 'user'"
@@ -95,12 +116,21 @@ _LEAVES = f"WITH {TURNS}, {TLINES}, leaves AS (SELECT *, row_number() OVER (PART
 ORACLES["q_siblings_before"] = _LEAVES + " SELECT b.line_id AS id, a.line_id AS sibling FROM leaves a JOIN leaves b ON a.conv = b.conv AND a.pos = b.pos - 1 UNION ALL SELECT s.turn_id, a.line_id FROM spanned s JOIN leaves a ON a.conv = s.conv AND a.pos = s.lo - 1"
 ORACLES["q_siblings_after"] = _LEAVES + " SELECT b.line_id AS id, a.line_id AS sibling FROM leaves a JOIN leaves b ON a.conv = b.conv AND a.pos = b.pos + 1 UNION ALL SELECT s.turn_id, a.line_id FROM spanned s JOIN leaves a ON a.conv = s.conv AND a.pos = s.hi + 1"
 ORACLES["q_preview"] = f"WITH {TURNS}, {TLINES} SELECT conv AS root, CASE WHEN regexp_matches(line, '\\S') THEN 'Block' ELSE 'Empty' END AS outcome, CASE WHEN regexp_matches(line, '\\S') THEN line_id END AS block_id FROM tlines WHERE ix = 0 AND line_ix = 0"
+ORACLES["q_preview_styles"] = f"""WITH {TURNS}, {TLINES}, f AS (SELECT turn_id, bool_or(regexp_matches(line, '\\S')) AS full_ FROM tlines GROUP BY turn_id)
+SELECT turn_id AS root, CASE WHEN full_ THEN 'Block' ELSE 'Empty' END AS outcome, CASE WHEN full_ THEN 'h' || turn_id END AS block_id, CASE WHEN role = 'user' THEN '' ELSE 'Quote' END AS block_styles, CASE WHEN role = 'user' THEN 'Italic' ELSE '' END AS span_styles FROM turns JOIN f USING (turn_id)"""
 ORACLES["q_sections"] = f"WITH {EDGES}, n AS (SELECT child_id, count(*) AS n FROM edges GROUP BY ALL) SELECT parent_id AS root, child_index AS section_ix, CASE WHEN n > 1 THEN child_id END AS section_id, n > 1 AS has_multiple_parents FROM edges JOIN n USING (child_id) WHERE parent_id LIKE 'o%'"
 ORACLES["q_subsections"] = f"WITH {TURNS}, {TLINES} SELECT conv AS root, CAST(ix AS INT) AS turn_ix, CAST(line_ix AS INT) AS line_ix, line_id AS id FROM tlines"
 ORACLES["q_spans"] = f"WITH {TURNS} SELECT conv AS root, CAST(ix AS INT) AS ix, text, CASE WHEN role = 'user' THEN 'Italic' ELSE '' END AS styles FROM turns"
 ORACLES["q_lineage"] = f"WITH {TURNS} SELECT turn_id AS id, CAST(0 AS INT) AS depth, turn_id AS ancestor FROM turns UNION ALL SELECT turn_id, 1, conv FROM turns WHERE role = 'user'"
 ORACLES["q_parent_branches"] = f"WITH {TURNS} SELECT turn_id AS root, conv AS parent_id FROM turns WHERE role <> 'user'"
 
+ORACLES["q_tile_branches"] = f"""WITH {DOC}, e AS (SELECT 'd' || doc_id AS root, line_ix, md5(line) AS id, line FROM lines),
+nb AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY line_ix) AS pos FROM e WHERE regexp_matches(line, '\\S')),
+cnt AS (SELECT id, count(*) AS n FROM e GROUP BY id),
+near AS (SELECT b.id, a.id AS sibling, a.root, a.pos < b.pos AS is_before FROM nb a JOIN nb b ON a.root = b.root AND abs(a.pos - b.pos) = 1),
+up AS (SELECT DISTINCT near.id, CASE WHEN n = 1 THEN root ELSE sibling END AS sibling, is_before FROM near JOIN cnt ON cnt.id = near.sibling)
+SELECT DISTINCT root, e.id, sibling, is_before FROM e JOIN up USING (id) WHERE sibling <> root AND (root, sibling) NOT IN (SELECT root, id FROM e)"""
+
 _LISTS = f"{DOC}, lists AS (SELECT CAST(doc_id AS VARCHAR) AS parent_id, CAST(line_ix AS INT) AS child_index, doc_id || '.' || line_ix AS child_id FROM lines)"
 ORACLES["q_remove_reindex"] = f"WITH {_LISTS} SELECT parent_id, CAST(child_index - 1 AS INT) AS child_index, child_id FROM lists WHERE child_index > 0"
 ORACLES["q_insert"] = f"WITH {_LISTS} SELECT parent_id, CAST(CASE WHEN child_index >= 1 THEN child_index + 1 ELSE 0 END AS INT) AS child_index, child_id FROM lists UNION ALL SELECT DISTINCT parent_id, 1, 'new' || parent_id FROM lists"
@@ -109,6 +139,9 @@ ORACLES["q_push"] = f"WITH {_LISTS} SELECT parent_id, child_index, child_id FROM
 ORACLES["q_orphans"] = "WITH gone AS (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING') SELECT 'o' || o_orderkey AS id FROM gone UNION ALL SELECT 'p' || l_partkey FROM lineitem GROUP BY l_partkey HAVING bool_and(l_orderkey IN (SELECT o_orderkey FROM gone))"
 ORACLES["q_export_since"] = f"SELECT 'o' || o_orderkey AS id, 'List' AS kind FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 AND (epoch_us(o_orderdate) // 1000) > {ORDERED} UNION ALL SELECT '00000000-0000-0000-0000-000000000000', 'List'"
 
+ORACLES["q_export_edges"] = f"WITH {EDGES}, o AS (SELECT 'o' || o_orderkey AS id FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 AND (epoch_us(o_orderdate) // 1000) > {ORDERED}) SELECT parent_id, child_index, child_id FROM edges JOIN o ON id = parent_id UNION ALL SELECT '00000000-0000-0000-0000-000000000000', 0, 'r1'"
+ORACLES["q_restore"] = f"WITH {EDGES}, c AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), lost AS (SELECT id FROM c UNION SELECT child_id FROM edges JOIN c ON id = parent_id) SELECT parent_id, child_index, child_id FROM edges JOIN lost ON id = parent_id"
+
 
 def _word(hex_text: str, i: int) -> str:
     return f"CAST('0x' || substr({hex_text}, {1 + 8 * i}, 8) AS BIGINT)"
@@ -117,6 +150,11 @@ def _word(hex_text: str, i: int) -> str:
 _XOR = " || ".join(f"lower(lpad(format('{{:x}}', xor({_word('h', i)}, {int(NAMESPACE.replace('-', '')[8 * i : 8 * i + 8], 16)})), 8, '0'))" for i in range(4))
 _HYPHENS = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12)"
 ORACLES["q_import_xor"] = f"WITH m AS (SELECT doc_id, md5(text) AS h FROM documents), x AS (SELECT doc_id, h, {_XOR} AS y FROM m) SELECT doc_id, {_HYPHENS.format('h')} AS id, {_HYPHENS.format('y')} AS namespaced FROM x"
+_MOVED = _HYPHENS.format(f"({_XOR})")
+ORACLES["q_import_edges"] = f"""WITH l AS (SELECT md5(item_id || ':' || text) AS p, unnest(range(len(x))) AS child_index, unnest(x) AS line FROM (SELECT *, string_split(text, chr(10)) AS x FROM benchmark)),
+e AS (SELECT p, CAST(child_index AS INT) AS child_index, md5(line) AS c FROM l)
+SELECT {_HYPHENS.format('p')} AS parent_id, child_index, {_HYPHENS.format('c')} AS child_id FROM e
+UNION ALL SELECT {_MOVED.replace("substr(h,", "substr(p,")}, child_index, {_MOVED.replace("substr(h,", "substr(c,")} FROM e"""
 _CASTS = "b AS (SELECT CAST(user_id AS VARCHAR) AS broadcast_id, max((epoch_us(ts) // 1000)) AS last_updated, max(CASE WHEN event_type = 'error' THEN (epoch_us(ts) // 1000) + 3600000 END) AS expiration FROM events GROUP BY user_id)"
 ORACLES["q_list_broadcasts"] = f"WITH {_CASTS} SELECT DISTINCT event_type AS id, broadcast_id, last_updated, expiration FROM b JOIN events ON CAST(user_id AS VARCHAR) = broadcast_id WHERE expiration IS NULL OR expiration > {AS_OF}"
 ORACLES["q_update_broadcasts"] = f"WITH {_CASTS} SELECT DISTINCT broadcast_id, 'push' AS action FROM b JOIN events ON CAST(user_id AS VARCHAR) = broadcast_id WHERE (expiration IS NULL OR expiration > {AS_OF}) AND event_type = 'purchase' UNION ALL SELECT broadcast_id, 'delete' FROM b WHERE expiration <= {AS_OF}"

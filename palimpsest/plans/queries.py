@@ -16,7 +16,7 @@ from palimpsest.streaming.latest import stream_latest
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: A moment inside the events, and one inside the orders, in milliseconds.
+#: Moments for broadcasts and for orders, in milliseconds.
 AS_OF, ORDERED = 1_704_100_000_000, 852_076_800_000
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
@@ -94,8 +94,8 @@ def q_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return similarity.top_k(_searched(spark, d), 5).select("term_id.item_id", "term_id.term_ix", "rank", "id.doc_id", "id.line_ix", "i")
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.col("src_id.conv_id").alias("src_conv"), F.col("src_id.turn").alias("src_turn"), F.col("src_id.line_ix").alias("src_line"), F.col("id.conv_id").alias("conv"), F.col("id.turn").alias("turn"), F.col("id.line_ix").alias("line"), "a", "b", "i")
+def _pairs(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.col("src_id.conv_id").alias("src_conv"), F.col("src_id.turn").alias("src_turn"), F.col("src_id.line_ix").alias("src_line"), F.col("id.conv_id").alias("conv"), F.col("id.turn").alias("turn"), F.col("id.line_ix").alias("line"), "a", "b", "i", *more)
 
 
 @query
@@ -108,6 +108,21 @@ def q_overlap_reverse(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(similarity.reverse(similarity.overlaps(_talk_blocks(spark, d))))
 
 
+@query
+def q_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = similarity.top_k(similarity.overlaps(_talk_blocks(spark, d)), 3, "src_id", similarity.overlap_order())
+    return _pairs(found.select("src_id", "id", "a", "b", "i", "rank"), "rank")
+
+
+@query
+def q_overlap_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of the benchmark's lines that come, go or change when every third line is changed."""
+    before = I.blocks(_item_lines(spark, d), "item_id")
+    after = before.select("id", F.when(F.col("id.item_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("3"))).otherwise(F.col("text")).alias("text"))
+    found = similarity.difference(similarity.overlaps(before), similarity.overlaps(after))
+    return found.select(F.col("src_id.item_id").alias("src_item"), F.col("src_id.line_ix").alias("src_line"), "id.item_id", "id.line_ix", "a", "b", "i", "change")
+
+
 @query
 def q_overlap_cross(spark: SparkSession, d: str) -> DataFrame:
     found = similarity.overlaps_between(I.blocks(_item_lines(spark, d), "item_id"), I.blocks(_doc_lines(spark, d), "doc_id"))
@@ -136,12 +151,18 @@ def q_kv_get_version(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_kv_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return log.latest(log.as_of(I.events(spark, d), commit_ts=AS_OF)).select("key", "value", "commit_ts")
+    """As the log was in the middle of its time."""
+    held = I.events(spark, d)
+    lo, hi = held.agg(F.min("commit_ts"), F.max("commit_ts")).first()
+    return log.latest(log.as_of(held, commit_ts=(lo + hi) // 2 if lo is not None else 0)).select("key", "value", "commit_ts")
 
 
 @query
 def q_kv_before_seq(spark: SparkSession, d: str) -> DataFrame:
-    return log.latest(log.as_of(I.events(spark, d), seq=500)).select("key", "value", "seq")
+    """As the log was before the middle of its numbers."""
+    held = I.events(spark, d)
+    top = held.agg(F.max("seq")).first()[0]
+    return log.latest(log.as_of(held, seq=(top + 1) // 2 if top is not None else 0)).select("key", "value", "seq")
 
 
 @query
@@ -278,6 +299,13 @@ def q_preview(spark: SparkSession, d: str) -> DataFrame:
     return graph.preview(nodes, edges, nodes.where("id like 'v%'").select(F.col("id").alias("root"))).select("root", "outcome", "block_id")
 
 
+@query
+def q_preview_styles(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = I.talk_graph(spark, d, "styled")
+    found = graph.preview(nodes, edges, nodes.where("id like 't%'").select(F.col("id").alias("root")))
+    return found.select("root", "outcome", "block_id", F.array_join("block_styles", ",").alias("block_styles"), F.array_join("span_styles", ",").alias("span_styles"))
+
+
 @query
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = I.trade_nodes(spark, d), I.trade_edges(spark, d)
@@ -313,7 +341,8 @@ def q_parent_branches(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_tile_branches(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = I.quote_graph(spark, d)
+    """The branches of every document's page: what stands next to its lines in other documents."""
+    nodes, edges = I.line_graph(spark, d)
     roots = nodes.where("kind = 'List'").select(F.col("id").alias("root"))
     both = [view.branches(nodes, edges, roots, before).withColumn("is_before", F.lit(before)) for before in (True, False)]
     return both[0].unionByName(both[1])
@@ -363,6 +392,32 @@ def q_export_since(spark: SparkSession, d: str) -> DataFrame:
     return replicate.export_since(nodes, edges, times, "r1", ORDERED)[1].select("id", "kind")
 
 
+@query
+def q_export_edges(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = I.trade_nodes(spark, d), I.trade_edges(spark, d)
+    placed = I.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+    times = nodes.select("id").join(placed, "id", "left").select("id", F.coalesce("ts", F.lit(0)).alias("ts"))
+    return replicate.export_since(nodes, edges, times, "r1", ORDERED)[2].select("parent_id", "child_index", "child_id")
+
+
+@query
+def q_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Child lists that come back with the customers of a segment, of whom and of whose orders nothing was left."""
+    nodes, edges = I.trade_nodes(spark, d), I.trade_edges(spark, d)
+    roots = I.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("root"))
+    lost = roots.select(F.col("root").alias("id")).unionByName(edges.join(roots.select(F.col("root").alias("parent_id")), "parent_id", "left_semi").select(F.col("child_id").alias("id")))
+    back, lists = edits.restore(nodes, edges, nodes.join(lost, "id", "left_anti"), roots)
+    return lists.join(back.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("parent_id", "child_index", "child_id")
+
+
+@query
+def q_import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of the benchmark's items next to the same lists imported under a namespace."""
+    edges = I.item_edges(spark, d)
+    nodes = edges.select(F.col("parent_id").alias("id")).distinct()
+    return replicate.upsert(nodes, edges, *replicate.namespaced(nodes, edges, F.lit(NAMESPACE)))[1]
+
+
 @query
 def q_import_xor(spark: SparkSession, d: str) -> DataFrame:
     docs = I.table(spark, d, "documents").select("doc_id", ids.from_text(F.col("text")).alias("id"))
