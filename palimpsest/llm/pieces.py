@@ -82,7 +82,7 @@ class Model:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -102,47 +102,29 @@ class Model:
 
     def _pair(self, a: int, b: int) -> bool:
         """Whether the pieces stay as they are when their joined text is merged; a = -1: at the start."""
-        held = self.stable.get((a, b))
+        key = a << 32 | b
+        held = self.stable.get(key)
         if held is None:
-            left = [self.text[a]] if a >= 0 else []
-            held = self.stable[a, b] = self._merge("".join(left) + self.text[b]) == [*left, self.text[b]]
             if len(self.stable) > PAIRS:
                 self.stable.clear()
+            left = [self.text[a]] if a >= 0 else []
+            held = self.stable[key] = self._merge("".join(left) + self.text[b]) == [*left, self.text[b]]
         return held
 
-    def _last(self, ends: list[tuple[int, int]], states: list, n: int, c: str) -> tuple[int, int, float]:
-        """(last piece, where it starts, score) of the best sequence for n characters; ends: the pieces that end there, longest first."""
-        if self.merges:
-            for start, piece in ends:
-                before = states[start][1]
-                if before == -2 or self._pair(before, piece):
-                    return piece, start, 0.0
-            return -2, n - 1, 0.0  # a character that isn't in the model
-        best = (-2, n - 1, states[n - 1][3] + self.unknown_score)
+    def _highest(self, ends: list[tuple[int, int]], score, n: int) -> tuple[int, int, float]:
+        """(last piece, where it starts, sum of scores) of the best sequence that ends with character n (from 0); ends: the pieces that end there, longest first; score: the best sums before each character."""
+        best = (-2, n, score[n] + self.unknown_score)
         for start, piece in ends:
-            total = states[start][3] + self.score[piece]
-            if n - start == 1 or total > best[2]:  # a character that is a piece is never unknown
-                if best[0] == -2 and n - start == 1 or total > best[2]:
-                    best = (piece, start, total)
+            total = score[start] + self.score[piece]
+            if total > best[2] or (start == n and best[0] == -2):  # a character that is a piece is never unknown
+                best = (piece, start, total)
         return best
 
-    def _grow(self, grown, c: str, n: int) -> tuple[list, list]:
-        """The pieces that may still grow after character n (from 1), and those that end there, longest first."""
-        more, ends = [], []
-        for start, node in (*grown, (n - 1, self.root)):
-            node = node.get(c)
-            if node is not None:
-                more.append((start, node))
-                piece = node.get("")
-                if piece is not None:
-                    ends.append((start, piece))
-        return more, ends
-
-    def _ids(self, word: str, back) -> bytes:
-        """The ids of a word's pieces; back(n): last piece and its start for n characters."""
-        out, n = array("I"), len(word)
+    def _ids(self, word: str, last, begun) -> bytes:
+        """The ids of a word's pieces, given the last piece and its start for every number of characters."""
+        out, n = [], len(word)
         while n:
-            piece, start = back(n)
+            piece, start = last[n], begun[n]
             if piece >= 0:
                 out.append(piece)
             elif self.fallback:
@@ -151,36 +133,77 @@ class Model:
                 out.append(self.unk)
             n = start
         out.reverse()
-        return out.tobytes()
+        return array("I", out).tobytes()
 
     def long(self, word: str) -> bytes:
-        """The ids of one word of any length."""
-        states, grown = _States(), []
-        for n, c in enumerate(word, 1):
-            grown, ends = self._grow(grown, c, n)
-            states.append(self._last(ends, states, n, c))
-        return self._ids(word, lambda n: (states.piece[n], states.start[n]))
+        """The ids of one word of any length: as `learn`, with 16 bytes a character, and only the pieces that may still grow from the last one."""
+        last, begun, score = array("i", [-1]), array("i", [0]), array("d", [0.0])
+        grown: list = []
+        for n, c in enumerate(word):
+            more, ends = [], []
+            for start, node in (*grown, (n, self.root)):
+                node = node.get(c)
+                if node is not None:
+                    more.append((start, node))
+                    if "" in node:
+                        ends.append((start, node[""]))
+            grown = more
+            if self.merges:
+                fits = ((y, x) for x, y in ends if last[x] == -2 or self._pair(last[x], y))
+                piece, start, total = *next(fits, (-2, n)), 0.0
+            else:
+                piece, start, total = self._highest(ends, score, n)
+            last.append(piece)
+            begun.append(start)
+            score.append(total)
+        return self._ids(word, last, begun)
 
     def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known, and aren't long, in sorted order."""
+        """Encodes the words that aren't known, and aren't long, in sorted order: a walk through their trie, depth first."""
         if self.held > CACHE_BYTES:
             self.known.clear()
             self.held = 0
-        states: list = [((), -1, 0, 0.0)]  # growing pieces, last piece, its start, score
-        path = ""
-        for word in sorted(w for w in words if w not in self.known and len(w) <= LONG):
+        # per character of the path: the pieces that may still grow, the last piece, its start, and the sum of scores
+        grown, last, begun, score = [()], [-1], [0], [0.0]
+        known, root, merges, held, path = self.known, self.root, self.merges, 0, ""
+        for word in sorted(w for w in words if w not in known and len(w) <= LONG):
             same = 0
             for a, b in zip(path, word):  # noqa: B905
                 if a != b:
                     break
                 same += 1
-            del states[same + 1 :]
-            for n in range(same + 1, len(word) + 1):
-                grown, ends = self._grow(states[n - 1][0], word[n - 1], n)
-                states.append((grown, *self._last(ends, states, n, word[n - 1])))
+            for column in (grown, last, begun, score):
+                del column[same + 1 :]
+            for n in range(same, len(word)):
+                c, more, ends = word[n], [], []
+                for start, node in grown[n]:
+                    node = node.get(c)
+                    if node is not None:
+                        more.append((start, node))
+                        if "" in node:
+                            ends.append((start, node[""]))
+                node = root.get(c)
+                if node is not None:
+                    more.append((n, node))
+                    if "" in node:
+                        ends.append((n, node[""]))
+                if merges:
+                    piece, start, total = -2, n, 0.0
+                    for x, y in ends:
+                        before = last[x]
+                        if before == -2 or self._pair(before, y):
+                            piece, start = y, x
+                            break
+                else:
+                    piece, start, total = self._highest(ends, score, n)
+                grown.append(more)
+                last.append(piece)
+                begun.append(start)
+                score.append(total)
             path = word
-            own = self.known[word] = self._ids(word, lambda n: states[n][1:3])
-            self.held += 160 + 4 * len(word) + len(own)  # a string's and an entry's own bytes besides
+            own = known[word] = self._ids(word, last, begun)
+            held += 160 + 4 * len(word) + len(own)  # a string's and an entry's own bytes besides
+        self.held += held
 
     def marked(self, text: str) -> list[str]:
         """The text's words, each with its blanks before it."""
@@ -202,20 +225,6 @@ class Model:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-class _States:
-    """The states of a long word, in columns; `states[n]` is as in `Model.learn`."""
-
-    def __init__(self):
-        self.piece, self.start, self.score = array("i", [-1]), array("q", [0]), array("d", [0.0])
-
-    def append(self, state: tuple[int, int, float]) -> None:
-        for column, value in zip((self.piece, self.start, self.score), state, strict=True):
-            column.append(value)
-
-    def __getitem__(self, n: int) -> tuple:
-        return (), self.piece[n], self.start[n], self.score[n]
-
-
 _models: dict[str, Model] = {}
 
 
