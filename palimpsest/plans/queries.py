@@ -50,8 +50,7 @@ def q_blank_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_grams(spark: SparkSession, d: str) -> DataFrame:
-    found = similarity.gram_rows(I.blocks(_doc_lines(spark, d), "doc_id"))
-    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("n_blocks"))
+    return similarity.gram_totals(I.blocks(_doc_lines(spark, d), "doc_id"))
 
 
 @query
