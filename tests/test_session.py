@@ -5,6 +5,7 @@ import pytest
 from palimpsest.functions.ids import ROOT
 from palimpsest.session import Conflict, Engine, IdNotFound
 from palimpsest.sources import store
+from palimpsest.sources.service import Service
 from palimpsest.sources.store import NodeError
 
 PAGE, CHAIN = "Page", "Chain"
@@ -157,3 +158,23 @@ def test_update(spark, tmp_path):
             t.update(a, lambda held: None)
         with pytest.raises(IdNotFound):
             t.update("none", lambda held: None)
+
+
+def test_service(spark, tmp_path):
+    """Requests change what later requests answer."""
+    web = Service(spark, str(tmp_path / "web"))
+    nodes, edges = store.in_memory(spark, [("a", "List", None, PAGE, None, None), ("b", "Text", "x", None, None, None)], [("a", 0, "b")])
+    status, made = web.handle("POST", "/broadcast", body=(nodes, edges), now=1000, episode="7")
+    assert status == 201 and made["expiration"] == 1000 + 24 * 3600
+    i, token = made["broadcast_id"], made["token"]
+    ask = lambda method, path=f"broadcast/{i}", now=2000, **more: web.handle(method, path, now=now, **more)
+    assert ask("GET") == (200, [7]) and ask("GET", f"broadcast/{i}/7")[1].count() == 2
+    assert ask("PUT", f"broadcast/{i}/9", token=token, body=(nodes.limit(1), edges.where("false"))) == (201, None)
+    assert ask("PUT", f"broadcast/{i}/9", token=token, body=(nodes, edges)) == (200, None) and ask("GET") == (200, [7, 9])
+    assert [ask("PUT", f"broadcast/{i}/x", token=token)[0], ask("PUT", f"broadcast/{i}/1", token="no")[0], ask("PUT", token=token)[0], ask("PUT", "broadcast/none/1")[0]] == [400, 401, 400, 404]
+    assert [ask("GET", "other")[0], ask("GET", "broadcast")[0], ask("GET", "broadcast/none")[0], ask("GET", f"broadcast/{i}/8")[0], ask("POST", "broadcast/x")[0], ask("PATCH")[0], ask("OPTIONS")[0], ask("POST", "broadcast", episode="x")[0]] == [400, 400, 404, 404, 400, 405, 200, 400]
+    assert ask("DELETE", token="no")[0] == 401 and ask("DELETE", token=token) == (200, None) and ask("GET") == (200, [])
+    late = 1000 + 24 * 3600 + 1
+    assert ask("GET", now=late)[0] == 404 and ask("GET", f"broadcast/{i}/9", now=late)[0] == 200 and ask("GET", f"broadcast/{i}/9", now=late + 12 * 3600)[0] == 404
+    rows = store.episodes(spark, web.episodes)
+    assert rows.where(f"broadcast_id = '{i}' and episode_ts = 9").count() == 2
