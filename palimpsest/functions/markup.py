@@ -24,6 +24,8 @@ _PREFIX = re.compile(r"[,>#-]+ ")
 _ESCAPED_PREFIX = re.compile(r"\\[,>#-]* ")
 # a run of backslashes, a mark, or plain text
 _TOKEN = re.compile(r"\\+|[*_~`]|[^\\*_~`]+")
+_ESCAPED = re.compile(f"[{re.escape(ESCAPED)}]")
+_MARK = {s: c for c, s in (*SPAN_MARKS.items(), *BLOCK_MARKS.items())}
 
 
 class MarkupError(ValueError):
@@ -70,20 +72,27 @@ def parse(line: str) -> tuple[list[str], list[tuple[list[str], str]]]:
     return styles, spans
 
 
+def _turn(held: list[str], wanted) -> tuple[str, list[str]]:
+    """The marks between a span and the next, and the styles that are open then: the innermost is closed first."""
+    closed = [s for s in held[::-1] if s not in wanted]
+    opened = [s for s in SPAN_ORDER[::-1] if s in wanted and s not in held]
+    return "".join(_MARK[s] for s in closed + opened), [s for s in held if s in wanted] + opened
+
+
 def write(styles, spans) -> str:
-    """The line that `parse` reads as this block: marks are opened and closed where styles change."""
-    mark = {s: c for c, s in (*SPAN_MARKS.items(), *BLOCK_MARKS.items())}
-    out = "".join(mark[s] for s in reversed(_ordered(styles, BLOCK_ORDER)))
-    out += " " * bool(out)
+    """The line of a block: its marks, the spans with marks where styles change, and all marks closed in the end.
+
+    Characters that would be read as marks are escaped, and so is a prefix that
+    the last span's text begins with.
+    """
+    block = "".join(_MARK[s] for s in BLOCK_ORDER[::-1] if s in styles)
+    said, held = [f"{block} " if block else ""], []
     if spans and _PREFIX.match(spans[-1][1]):
-        out += "\\"
-    active: list[str] = []
-    for own, text in spans:
-        closing = [s for s in reversed(active) if s not in own]
-        opening = [s for s in reversed(_ordered(own, SPAN_ORDER)) if s not in active]
-        active = [s for s in active if s in own] + opening
-        out += "".join(mark[s] for s in closing + opening) + "".join("\\" + c if c in ESCAPED else c for c in text)
-    return out + "".join(mark[s] for s in reversed(active))
+        said.append("\\")
+    for own, text in [*spans, ([], "")]:
+        marks, held = _turn(held, own)
+        said += [marks, _ESCAPED.sub(r"\\\g<0>", text)]
+    return "".join(said)
 
 
 def to_json(line: str) -> str:

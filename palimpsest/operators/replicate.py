@@ -17,10 +17,6 @@ from palimpsest.operators.graph import descendants
 BROADCAST_TTL, EPISODE_TTL = 24 * 3600 * 1000, 36 * 3600 * 1000
 
 
-class BroadcastError(ValueError):
-    """A broadcast that isn't known, or a wrong token."""
-
-
 def export_since(nodes: DataFrame, edges: DataFrame, times: DataFrame, root: str, since: int = -1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ids, nodes, edges): all that the root reaches; of these, the nodes that changed after `since` (times: id, ts) and their child lists.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import ids, markup
 from palimpsest.operators import edits, graph, log, replicate, similarity, view
+from palimpsest.plans.scratch import Scratch
 from palimpsest.sources import store
 
 NODE, PUBLISHED, SUBSCRIBED = 0, 5, 6
@@ -40,30 +41,60 @@ def tables(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.select("id", "v.kind", "v.text", "v.layout", "v.style_kind", "v.styles"), edges
 
 
+class Writes(dict):
+    """What a transaction has written, by (slot, key): node or None, with the order of writing in `turn`."""
+
+    def __init__(self):
+        super().__init__()
+        self.turn: dict[tuple[int, str], int] = {}
+        self.count = 0
+
+    def next(self) -> int:
+        self.count += 1
+        return self.count - 1
+
+    def __setitem__(self, key, value) -> None:
+        self.turn[key] = self.next()
+        super().__setitem__(key, value)
+
+    def rows(self) -> list[tuple]:
+        return [(s, k, None if v is None else json.dumps(v), v is None, self.turn[s, k]) for (s, k), v in self.items()]
+
+
+WRITE = "slot int, key string, value string, is_removed boolean, n long"
+
+
 class Transaction:
     def __init__(self, engine: Engine):
         self.engine, self.spark = engine, engine.spark
         self.seen = engine.store.commits()  # what is committed later isn't seen
         self.seq = self.seen[-1]["first_seq"] + self.seen[-1]["span"] if self.seen else 0
         self.log = engine.store.rows(self.seen)
-        self.writes: dict[tuple[int, str], dict | None] = {}
+        self.writes = Writes()
+        self.tables_in: list[DataFrame] = []  # imported nodes, as writes
         self.reads: set[tuple[int, str]] = set()
 
     # -- reading
 
+    def written(self) -> DataFrame:
+        """All writes, in order of `n`: (slot, key, value, is_removed, n)."""
+        out = self.spark.createDataFrame(self.writes.rows(), WRITE)
+        for rows in self.tables_in:
+            out = out.unionByName(rows)
+        return out
+
     def _staged(self) -> DataFrame:
-        rows = [(s, k, None if v is None else json.dumps(v), v is None, 0, self.seq + i) for i, ((s, k), v) in enumerate(self.writes.items())]
-        return self.log.unionByName(self.spark.createDataFrame(rows, store.LOG))
+        return self.log.unionByName(self.written().select("slot", "key", "value", "is_removed", F.lit(0).cast("long").alias("commit_ts"), (F.lit(self.seq) + F.col("n")).cast("long").alias("seq")))
 
     def tables(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges as this transaction sees them."""
         return tables(log.latest(self._staged()).where(F.col("slot") == NODE))
 
     def _get(self, slot: int, key: str, trash: bool = False) -> dict | None:
-        if (slot, key) in self.writes and not (trash and self.writes[slot, key] is None):
+        if not self.tables_in and (slot, key) in self.writes and not (trash and self.writes[slot, key] is None):
             return self.writes[slot, key]
         self.reads.add((slot, key))
-        own = self.log.where((F.col("slot") == slot) & (F.col("key") == key))
+        own = (self._staged() if self.tables_in else self.log).where((F.col("slot") == slot) & (F.col("key") == key))
         row = (log.unremoved(own) if trash else log.latest(own)).head()
         return None if row is None else json.loads(row["value"])
 
@@ -96,7 +127,7 @@ class Transaction:
         own = held.where(F.col("id") == i)
         if own.isEmpty():
             raise IdNotFound(i)
-        return similarity.overlaps_between(own, held).where("src_id <> id").orderBy(F.desc("i"), F.desc("a"), F.desc("b"), "id").collect()
+        return similarity.overlaps_between(own, held).where("src_id <> id").orderBy(*similarity.overlap_order()).collect()
 
     # -- writing
 
@@ -177,9 +208,9 @@ class Transaction:
 
     def _present(self, keys: list[str]) -> set[str]:
         """Which of some nodes there are; all are read."""
-        asked = [k for k in keys if (NODE, k) not in self.writes]
+        asked = [k for k in keys if self.tables_in or (NODE, k) not in self.writes]
         self.reads |= {(NODE, k) for k in asked}
-        there = {k for k in keys if self.writes.get((NODE, k)) is not None}
+        there = set() if self.tables_in else {k for k in keys if self.writes.get((NODE, k)) is not None}
         return there | {r["key"] for r in log.latest(self._of(asked)).select("key").collect()} if asked else there
 
     def _missing(self, keys: list[str]) -> list[str]:
@@ -189,7 +220,7 @@ class Transaction:
     def _of(self, keys: list[str]) -> DataFrame:
         """The log of some nodes."""
         wanted = self.spark.createDataFrame([(k,) for k in keys], "key string")
-        return self.log.where(F.col("slot") == NODE).join(F.broadcast(wanted), "key", "left_semi")
+        return (self._staged() if self.tables_in else self.log).where(F.col("slot") == NODE).join(F.broadcast(wanted), "key", "left_semi")
 
     def _trash(self, keys: list[str]) -> dict[str, dict]:
         """The last values of some nodes that are removed; an id that was never there is left out."""
@@ -210,14 +241,13 @@ class Transaction:
         return replicate.export_since(*self.tables(), times, i, since)
 
     def import_(self, nodes: DataFrame, edges: DataFrame, namespace: str) -> None:
-        """Stages an export's nodes, moved into a namespace. What a broadcast's episode holds is one document, so it is gathered here."""
-        moved = replicate.namespaced(nodes, edges, F.lit(namespace))
-        lists: dict[str, list[str]] = {}
-        for r in moved[1].orderBy("parent_id", "child_index").collect():
-            lists.setdefault(r["parent_id"], []).append(r["child_id"])
-        for r in moved[0].collect():
-            held = r.asDict()
-            self._put(held.pop("id"), held | {"children": lists.get(r["id"], [])})
+        """Stages an export's nodes, moved into a namespace, as a table: nothing of it comes to the driver."""
+        nodes, edges = replicate.namespaced(nodes, edges, F.lit(namespace))
+        lists = edges.groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("child_index", "child_id"))).alias("c"))
+        held = nodes.join(lists, "id", "left").withColumn("children", F.coalesce("c.child_id", F.array().cast("array<string>")))
+        value = F.to_json(F.struct("kind", "text", "layout", "style_kind", "styles", "children"), {"ignoreNullFields": "false"})
+        rows = held.select(F.lit(NODE).alias("slot"), F.col("id").alias("key"), value.alias("value"), F.lit(False).alias("is_removed"), F.lit(self.writes.next()).cast("long").alias("n"))
+        self.tables_in.append(Scratch(self.spark, "import").put(rows))
 
     def broadcasts(self, i: str, now: int | None = None) -> list[dict]:
         """Active broadcasts that export a node, newest first."""
@@ -328,10 +358,9 @@ class Engine:
         between, the number is taken, and the check is made again with what that
         one has written.
         """
-        if not t.writes:
+        if not t.writes and not t.tables_in:
             return
-        rows = [(s, k, None if v is None else json.dumps(v), v is None, i) for i, ((s, k), v) in enumerate(t.writes.items())]
-        writes = self.spark.createDataFrame(rows, "slot int, key string, value string, is_removed boolean, n long")
+        writes = t.written()
 
         def made(held: list[dict], first: int) -> DataFrame:
             seen = t.seen[-1]["number"] if t.seen else -1
@@ -341,10 +370,13 @@ class Engine:
                 if log.conflicts(reads, self.store.rows(late)).first()["conflict"]:
                     raise Conflict("a node that was read has changed")
             now = max(int(time.time() * 1000), held[-1]["commit_ts"] if held else 0)
-            return log.stage(self.spark.createDataFrame([], store.LOG), writes, now, first)
+            rows = log.stage(self.spark.createDataFrame([], store.LOG), writes, now, first)
+            if not t.tables_in:
+                return rows
+            return rows.withColumn("seq", F.lit(first).cast("long") + F.monotonically_increasing_id())  # a table's rows share a turn
 
         self.store.add(made)
-        t.writes.clear()
+        t.writes, t.tables_in = Writes(), []
 
     @contextmanager
     def tx(self) -> Iterator[Transaction]:

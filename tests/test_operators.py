@@ -380,16 +380,21 @@ CASES = {
 }
 
 
+#: Spans that are one after writing: neighbours of one style, as an empty pair of marks leaves them.
+MERGED = {"empty ** bold": [([], "empty  bold")]}
+
+
 @pytest.mark.parametrize("line", CASES)
 def test_markup(line):
     assert markup.parse(line) == CASES[line]
-    assert markup.to_json(markup.write(*markup.parse(line))) == markup.to_json(line) or "empty **" in line or len(CASES[line][1]) > 1
+    again = markup.parse(markup.write(*markup.parse(line)))
+    assert again == (markup.parse(line)[0], MERGED.get(line, markup.parse(line)[1]))
 
 
 def test_markup_edges(spark):
     with pytest.raises(markup.MarkupError):
         markup.parse("a\nb")
-    assert markup.from_json(markup.to_json("># *x* y")) == ">\\# *x* y" or markup.from_json(markup.to_json("># *x* y")) == "># *x* y"
+    assert markup.from_json(markup.to_json("># *x* y")) == "># *x* y"
     assert markup.to_node("# a") == {"Styled": {"Block": ["Heading"], "child": {"Text": "a"}}}
     assert markup.to_node("a *b*")["children"][0]["List"] == "Chain"
     df = spark.createDataFrame([(x,) for x in CASES] + [(None,)], "line string")
