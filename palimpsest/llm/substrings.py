@@ -17,7 +17,9 @@ five, are compared across the corpus:
 Entries travel in blobs, one per bucket for about DEAL entries of a task. Documents
 there that share an entry are settled at once, and only one of them is sent on to
 meet the others, so a passage found in a third of all documents loads no bucket.
-Rows without a doc_id take no part and aren't shuffled.
+Rows without a doc_id take no part and aren't shuffled; rows that repeat a doc_id
+so often that their texts fill buckets are spread over buckets of their own, all
+of which get that document's entries.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import EXACT, SPACE, U64, gram_hashes, slices, word_hashes, word_spans
-from palimpsest.plans.scratch import free_name
+from palimpsest.plans.scratch import Scratch, free_name
 
 K = 5
 #: Bytes of text for each bucket, and the smallest number of buckets.
@@ -132,19 +134,29 @@ def _seeds(window: int, k: int, buckets: int):
     return work
 
 
-def _met(buckets: int, smaller_only: bool):
+def _met(buckets: int, smaller_only: bool, hot: dict[int, tuple[int, int]]):
     """Per bucket of hashes: the entries that another document holds too (a smaller one, if smaller_only), dealt to the documents' buckets."""
+    names = np.array(sorted(hot), np.int64)
+    first, parts = (np.array([hot[n][k] for n in sorted(hot)], np.int64) for k in (0, 1))
 
     def work(table: pa.Table) -> pa.Table:
         e = _entries(table)
         settled, e = e[e["settled"]], e[~e["settled"]]
         found = settled
         if len(e):
-            e, first, size = _sorted(e)
-            least = np.repeat(e["doc"][first], size)
-            most = np.repeat(e["doc"][first + size - 1], size)
-            found = np.concatenate((settled, e[e["doc"] > least if smaller_only else least < most]))
-        return pa.Table.from_batches([_blobs(found, _bucket_of(found["doc"], buckets))])
+            e, start, size = _sorted(e)
+            least = np.repeat(e["doc"][start], size)
+            most = np.repeat(e["doc"][start + size - 1], size)
+            fresh = np.concatenate(([True], (e["hash"][1:] != e["hash"][:-1]) | (e["doc"][1:] != e["doc"][:-1])))
+            found = np.concatenate((settled, e[fresh & (e["doc"] > least if smaller_only else least < most)]))
+        bucket = _bucket_of(found["doc"], buckets)
+        if len(names) and len(found):
+            at = np.minimum(np.searchsorted(names, found["doc"]), len(names) - 1)
+            spread = names[at] == found["doc"]
+            own, times = found[spread], parts[at[spread]]
+            places = np.repeat(first[at[spread]] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+            found, bucket = np.concatenate((found[~spread], np.repeat(own, times))), np.concatenate((bucket[~spread], places))
+        return pa.Table.from_batches([_blobs(found, bucket)])
 
     return work
 
@@ -238,13 +250,23 @@ def _solve(spark: SparkSession, documents: DataFrame, window: int, k: int, out:
     own_id, key = free_name(documents, "own_id"), free_name(documents, "bucket")
     named = documents.where(F.col("doc_id").cast("long").isNotNull()).withColumn(own_id, F.col("doc_id").cast("long"))
     named = named.withColumn("text", F.col("text").cast("string"))
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sizes = Scratch(spark, "substrings").put(named.groupBy(F.col(own_id).alias("id")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")))
+    size = sizes.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES) | 1  # odd, as ids are often multiples of two
+    hot, after = {}, buckets
+    for r in sizes.where((F.col("rows") > 1) & (F.col("bytes") > 2 * BUCKET_BYTES)).orderBy("id").collect():  # a row for so many bytes of text
+        hot[r["id"]] = (after, -(-r["bytes"] // BUCKET_BYTES))
+        after += hot[r["id"]][1]
     seeds = named.select(own_id, "text").mapInArrow(_seeds(window, k, buckets), BLOB)
-    shared = seeds.groupBy("bucket").applyInArrow(_met(buckets, False), BLOB)
+    shared = seeds.groupBy("bucket").applyInArrow(_met(buckets, False, hot), BLOB)
     texts = named.withColumn(key, _bucket(F.col(own_id), buckets).cast("long"))
+    if hot:
+        first, parts = free_name(texts, "hot_first"), free_name(texts, "hot_parts")
+        spread = spark.createDataFrame([(i, *v) for i, v in hot.items()], f"{own_id} long, {first} long, {parts} long")
+        own = F.col(first) + F.pmod(F.xxhash64("text", own_id), F.col(parts))
+        texts = texts.join(F.broadcast(spread), own_id, "left").withColumn(key, F.coalesce(own, key)).drop(first, parts)
     repeated = texts.groupBy(key).cogroup(shared.groupBy("bucket")).applyInArrow(_extended(window, k, buckets, own_id), BLOB)
-    repeated = repeated.groupBy("bucket").applyInArrow(_met(buckets, True), BLOB)
+    repeated = repeated.groupBy("bucket").applyInArrow(_met(buckets, True, hot), BLOB)
 
     def cut(rows: pa.Table, entries: pa.Table) -> pa.Table:
         return told(rows, rows[own_id], _cuts(rows["text"], rows[own_id].to_pylist(), _of_docs(entries), window))

@@ -205,6 +205,34 @@ def test_substrings(spark, corpus):
     assert spans == {i: v[1] for i, v in got.items()}
 
 
+def test_substrings_of_a_repeated_id(spark, corpus, monkeypatch):
+    """A doc_id that a third of all rows repeat is spread over buckets of its own, and each row is still cut as any other."""
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 4096)
+    monkeypatch.setattr(substrings, "LEAST_BUCKETS", 8)
+    rng = random.Random(4)
+    passages = [t for i, t in corpus if 40 <= i < 58 or 200 <= i < 220]
+    rows = corpus + [(150, f"{words(rng, 20)} {rng.choice(passages)} {words(rng, 20)} {k}") for k in range(90)] + [(10_000, f"{passages[0]} {t}") for _, t in corpus[:20]]
+    first = {}
+    wins = lambda w: [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+    for i, t in rows:
+        for w in wins((t or "").split()):
+            first[w] = min(first.get(w, i), i)
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for k, x in enumerate(wins(w)):
+            if first[x] < i:
+                gone[k : k + 13] = [True] * 13
+        want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    docs = table(spark, rows).repartition(5)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(spark, docs).collect()]
+    assert sorted(got) == sorted(want)
+    cut = substrings.cut(spark, docs)
+    assert cut.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in cut.collect()) == sorted((i, k if n else t or "") for (i, _, n, k), (_, t) in zip(want, rows, strict=True))
+
+
 def test_substrings_odd_rows(spark):
     assert substrings.dedup(spark, table(spark, [])).collect() == []
     text = words(random.Random(1), 30)
