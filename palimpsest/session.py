@@ -23,6 +23,7 @@ from palimpsest.plans.scratch import Scratch
 from palimpsest.sources import store
 
 NODE, PUBLISHED, SUBSCRIBED = 0, 5, 6
+BROADCAST = "broadcast_id string, root string, token string, exported array<string>, last_updated long, expiration long"
 VALUE = "kind string, text string, layout string, style_kind string, styles array<string>, children array<string>"
 
 
@@ -249,12 +250,18 @@ class Transaction:
         rows = held.select(F.lit(NODE).alias("slot"), F.col("id").alias("key"), value.alias("value"), F.lit(False).alias("is_removed"), F.lit(self.writes.next()).cast("long").alias("n"))
         self.tables_in.append(Scratch(self.spark, "import").put(rows))
 
+    def _published(self) -> DataFrame:
+        """The broadcasts there are, a row each, with their value as it is stored."""
+        held = log.latest(self._staged()).where(F.col("slot") == PUBLISHED)
+        return held.select("value", F.from_json("value", BROADCAST).alias("b")).select("value", "b.*")
+
     def broadcasts(self, i: str, now: int | None = None) -> list[dict]:
         """Active broadcasts that export a node, newest first."""
-        held = [json.loads(r["value"]) for r in log.latest(self._staged()).where(F.col("slot") == PUBLISHED).collect()]
         now = int(time.time() * 1000) if now is None else now
-        mine = [b for b in held if i in b["exported"] and (b["expiration"] is None or b["expiration"] > now)]
-        return sorted(mine, key=lambda b: (-b["last_updated"], -(b["expiration"] or float("inf")), b["broadcast_id"]))
+        published = self._published()
+        mine = replicate.broadcasts_of(published, self.spark.createDataFrame([(i,)], "id string"), F.lit(now)).select("broadcast_id")
+        held = [json.loads(r["value"]) for r in published.join(mine, "broadcast_id", "left_semi").select("value").collect()]
+        return sorted(held, key=lambda b: (-b["last_updated"], -(b["expiration"] or float("inf")), b["broadcast_id"]))
 
     def publish(self, i: str, episodes: str, now: int | None = None) -> dict:
         """Writes what changed since the last episode of the node's broadcast, or all of it the first time."""
@@ -271,15 +278,13 @@ class Transaction:
         """Publishes again every active broadcast that exports something a node shows, each from its own root, and deletes expired ones."""
         now = int(time.time() * 1000) if now is None else now
         nodes, edges = self.tables()
-        shown = {r["node"] for r in graph.descendants_until_links(graph.linked(edges, graph.span_flags(nodes, edges)), self.spark.createDataFrame([(i,)], "root string")).collect()}
-        out = []
-        for r in log.latest(self._staged()).where(F.col("slot") == PUBLISHED).collect():
-            b = json.loads(r["value"])
-            if b["expiration"] is not None and b["expiration"] <= now:
-                self.writes[PUBLISHED, b["root"]] = None
-            elif shown & set(b["exported"]):
-                out.append(self.publish(b["root"], episodes, now)["broadcast_id"])
-        return out
+        links = graph.linked(edges, graph.span_flags(nodes, edges))
+        shown = graph.descendants_until_links(links, self.spark.createDataFrame([(i,)], "root string")).select(F.col("node").alias("id"))
+        push, gone = replicate.to_update(self._published(), shown, F.lit(now))
+        push, gone = ([r["root"] for r in df.select("root", "broadcast_id").orderBy("broadcast_id").collect()] for df in (push, gone))
+        for root in gone:
+            self.writes[PUBLISHED, root] = None
+        return [self.publish(root, episodes, now)["broadcast_id"] for root in push]
 
     def namespaced_id(self, broadcast_id: str, i: str) -> str:
         held = self._get(SUBSCRIBED, broadcast_id)
