@@ -84,7 +84,7 @@ class Scratch:
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     """`df`, to be broadcast if it has been counted and has at most `most` rows; otherwise Spark chooses a join that is sorted and can be split."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df  # partial counts; a limit would send its rows to one task
 
 
 def free_name(df: DataFrame, name: str) -> str:
