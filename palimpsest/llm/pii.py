@@ -279,7 +279,7 @@ def bootstrap(seen: DataFrame, docs: DataFrame, scratch: Scratch, rounds: int =
         taught = edges.join(weight.where("w > 0"), "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("s"), F.count("*").alias("backed"))
         rated = taught.where(F.col("backed") >= support).join(total, "pattern").select("pattern", F.round(F.col("s") / (F.col("total") + 1), 9).alias("confidence"))
         patterns = scratch.put(rated.where(F.col("confidence") >= trust), f"patterns-{r}")
-        looks = nodes.join(weight, "instance").groupBy("shape").agg((F.sum("w") / (F.count("*") + 1)).alias("alike"))
+        looks = scratch.put(nodes.join(weight, "instance").groupBy("shape").agg((F.sum("w") / (F.count("*") + 1)).alias("alike")), f"looks-{r}")
         lent = edges.join(if_few(patterns), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999999)))))).alias("lent"))
         score = F.round(0.75 * F.col("lent") + 0.25 * F.coalesce("alike", F.lit(0.0)), 9)
         known = nodes.join(lent, "instance").join(if_few(looks), "shape", "left").select("instance", score.alias("score")).where(F.col("score") >= trust)
