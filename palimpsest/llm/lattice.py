@@ -153,29 +153,35 @@ def links(spark: SparkSession, vectors: DataFrame, threshold: float, scratch: Sc
     scale, tables, more = SETTING
     members = grouped(vectors, scratch)
 
-    def keys(batches):
-        for b in batches:
-            group, label = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for rows, x in _by_width(b, 2):
-                dim = x.shape[1]
-                bits = x @ np.random.Generator(np.random.PCG64(7)).standard_normal((dim, 64)) > 0
-                sign = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel().view(np.int64)
-                for t, a in enumerate(projections(dim, tables)):
-                    cells = _cells(x, label[rows], t, a, more, scale)
-                    for home in (True, False):
-                        h = cells[:, :1] if home else cells
-                        flat, of = h.ravel().view(np.int64), np.repeat(np.arange(len(rows)), h.shape[1])
-                        order = np.lexsort((of, group[rows][of], flat))
-                        flat, of = flat[order], of[order]
+    def keys(probes: int):
+        """Rows (cell, group, signs) of the cells that vectors are in, and of `probes` more that they look into."""
+
+        def work(batches):
+            for b in batches:
+                group, label = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for rows, x in _by_width(b, 2):
+                    dim = x.shape[1]
+                    bits = x @ np.random.Generator(np.random.PCG64(7)).standard_normal((dim, 64)) > 0
+                    sign = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel().view(np.int64)
+                    for t, a in enumerate(projections(dim, tables)):
+                        cells = _cells(x, label[rows], t, a, probes, scale).view(np.int64)
+                        flat, of = cells.ravel(), np.repeat(np.arange(len(rows)), cells.shape[1])
                         own = group[rows][of]
+                        order = np.lexsort((own, flat))
+                        flat, of, own = flat[order], of[order], own[order]
                         first = np.flatnonzero(np.concatenate(([True], (flat[1:] != flat[:-1]) | (own[1:] != own[:-1]))))
                         signs = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(sign[of]))
-                        yield pa.RecordBatch.from_arrays([pa.array(flat[first]), pa.array(own[first]), signs, pa.array(np.full(len(first), home))], ["cell", "group", "signs", "home"])
+                        yield pa.RecordBatch.from_arrays([pa.array(flat[first]), pa.array(own[first]), signs], ["cell", "group", "signs"])
+
+        return work
 
-    # The cells are computed twice, for the homes and for the visits: cheaper than keeping them.
-    found = members.select("group", "label", "unit").mapInArrow(keys, "cell long, group long, signs array<long>, home boolean")
-    home = found.where("home").select("cell", F.col("group").alias("a"), F.col("signs").alias("s"))
-    visit = found.where("not home").select("cell", F.col("group").alias("b"), F.col("signs").alias("z"))
+    found = members.select("group", "label", "unit")
+    schema = "cell long, group long, signs array<long>"
+    homes = scratch.put(found.mapInArrow(keys(0), schema), "homes")
+    home = homes.select("cell", F.col("group").alias("a"), F.col("signs").alias("s"))
+    # most cells that are looked into are empty: where the others are few, these rows go before the shuffle
+    visit = found.mapInArrow(keys(more), schema).join(if_few(homes.select("cell").distinct()), "cell", "left_semi")
+    visit = visit.select("cell", F.col("group").alias("b"), F.col("signs").alias("z"))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS
     single = (F.size("s") == 1) & (F.size("z") == 1)
     alike = F.when(single, near(F.col("s")[0], F.col("z")[0])).otherwise(F.exists("s", lambda x: F.exists("z", lambda y: near(x, y))))
