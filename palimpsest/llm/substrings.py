@@ -39,7 +39,7 @@ K = 5
 #: Bytes of text for each bucket, and the smallest number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 24, 512
 #: Entries that a task gathers before it deals them out.
-DEAL = 1 << 20
+DEAL = 1 << 17
 BLOB = "bucket long, entries binary"
 #: hash, document, whether it is settled already
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("settled", "?")])
