@@ -27,6 +27,13 @@ def parents(edges: DataFrame) -> DataFrame:
     return edges.groupBy("child_id").agg(F.count("*").alias("n_parents"), F.countDistinct("parent_id").alias("n_distinct_parents"))
 
 
+def mismatches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, kind, n_children) of the nodes that have a number of children which their kind can't have."""
+    sizes = edges.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    held = nodes.join(sizes, "id", "left").select("id", "kind", F.coalesce("n", F.lit(0)).alias("n_children"))
+    return held.where(((F.col("kind") == "Text") & (F.col("n_children") > 0)) | ((F.col("kind") == "Styled") & (F.col("n_children") != 1)))
+
+
 def span_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, is_span): texts and chains are spans, pages and block styles are blocks, a span style is what its child is.
 

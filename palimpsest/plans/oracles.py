@@ -118,6 +118,9 @@ ORACLES["q_siblings_after"] = _LEAVES + " SELECT b.line_id AS id, a.line_id AS s
 ORACLES["q_preview"] = f"WITH {TURNS}, {TLINES} SELECT conv AS root, CASE WHEN regexp_matches(line, '\\S') THEN 'Block' ELSE 'Empty' END AS outcome, CASE WHEN regexp_matches(line, '\\S') THEN line_id END AS block_id FROM tlines WHERE ix = 0 AND line_ix = 0"
 ORACLES["q_preview_styles"] = f"""WITH {TURNS}, {TLINES}, f AS (SELECT turn_id, bool_or(regexp_matches(line, '\\S')) AS full_ FROM tlines GROUP BY turn_id)
 SELECT turn_id AS root, CASE WHEN full_ THEN 'Block' ELSE 'Empty' END AS outcome, CASE WHEN full_ THEN 'h' || turn_id END AS block_id, CASE WHEN role = 'user' THEN '' ELSE 'Quote' END AS block_styles, CASE WHEN role = 'user' THEN 'Italic' ELSE '' END AS span_styles FROM turns JOIN f USING (turn_id)"""
+ORACLES["q_preview_blocks"] = f"""WITH {TURNS}, f AS (SELECT conv, bool_or(regexp_matches(text, '\\S')) AS full_ FROM turns GROUP BY conv)
+SELECT conv AS root, 'Block' AS outcome, conv AS block_id, CAST(ix AS INT) AS ix, text, CASE WHEN role = 'user' THEN 'Italic' ELSE '' END AS styles FROM turns JOIN f USING (conv) WHERE full_ UNION ALL SELECT conv, 'Empty', NULL, NULL, '', '' FROM f WHERE NOT full_"""
+ORACLES["q_mismatches"] = f"WITH {TURNS}, {TLINES} SELECT turn_id AS id, 'Styled' AS kind, CAST(0 AS BIGINT) AS n_children FROM turns WHERE role = 'user' UNION ALL SELECT line_id, 'Text', 1 FROM tlines"
 ORACLES["q_sections"] = f"WITH {EDGES}, n AS (SELECT child_id, count(*) AS n FROM edges GROUP BY ALL) SELECT parent_id AS root, child_index AS section_ix, CASE WHEN n > 1 THEN child_id END AS section_id, n > 1 AS has_multiple_parents FROM edges JOIN n USING (child_id) WHERE parent_id LIKE 'o%'"
 ORACLES["q_subsections"] = f"WITH {TURNS}, {TLINES} SELECT conv AS root, CAST(ix AS INT) AS turn_ix, CAST(line_ix AS INT) AS line_ix, line_id AS id FROM tlines"
 ORACLES["q_spans"] = f"WITH {TURNS} SELECT conv AS root, CAST(ix AS INT) AS ix, text, CASE WHEN role = 'user' THEN 'Italic' ELSE '' END AS styles FROM turns"

@@ -305,6 +305,22 @@ def q_preview_styles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("root", "outcome", "block_id", F.array_join("block_styles", ",").alias("block_styles"), F.array_join("span_styles", ",").alias("span_styles"))
 
 
+@query
+def q_preview_blocks(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = I.talk_graph(spark, d, "spans")
+    found = view.preview_blocks(nodes, edges, nodes.where("id like 'v%'").select(F.col("id").alias("root")))
+    return found.select("root", "outcome", "block_id", F.col("path")[0].alias("ix"), "text", F.array_join("span_styles", ",").alias("styles"))
+
+
+@query
+def q_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of styled conversations as they would be if users' turns had lost their children and the others' texts had got some."""
+    nodes, edges = I.talk_graph(spark, d, "styled")
+    lost = nodes.where("style_kind = 'Span'").select(F.col("id").alias("parent_id"))
+    more = nodes.where("kind = 'Text'").select(F.col("id").alias("parent_id"), F.lit(0).alias("child_index"), F.lit("x").alias("child_id"))
+    return graph.mismatches(nodes, edges.join(lost, "parent_id", "left_anti").unionByName(more))
+
+
 @query
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = I.trade_nodes(spark, d), I.trade_edges(spark, d)

@@ -274,6 +274,11 @@ class Transaction:
         self.writes[PUBLISHED, i] = b
         return b
 
+    def broadcast(self, i: str, episodes: str, now: int | None = None) -> dict[str, list]:
+        """Publishes a node, and gives its tile with the broadcast in it."""
+        self.publish(i, episodes, now)
+        return self.tile(i)
+
     def update_broadcasts(self, i: str, episodes: str, now: int | None = None) -> list[str]:
         """Publishes again every active broadcast that exports something a node shows, each from its own root, and deletes expired ones."""
         now = int(time.time() * 1000) if now is None else now

@@ -32,6 +32,60 @@ class NodeError(ValueError):
     """A node that isn't well-formed."""
 
 
+class ChildrenMismatch(NodeError):
+    """A number of children that a node can't have: a text has none, a style one."""
+
+
+class WrongNodeType(NodeError):
+    """A question that only another kind of node answers."""
+
+
+def split(node: dict) -> tuple[dict, list]:
+    """A nested node without its children, and these."""
+    if "Text" in node:
+        return {"Text": node["Text"]}, []
+    if "List" in node:
+        return {"List": node["List"]}, list(node.get("children", []))
+    if "Styled" in node:
+        held = dict(node["Styled"])
+        child = held.pop("child", None)
+        return {"Styled": held}, [] if child is None else [child]
+    raise NodeError(f"not a node: {node}")
+
+
+def with_children(node: dict, children: list) -> dict:
+    """The node with other children."""
+    own, _ = split(node)
+    if "List" in own:
+        return own | {"children": list(children)}
+    if len(children) != int("Styled" in own):
+        raise ChildrenMismatch(f"{len(children)} children for {own}")
+    return {"Styled": own["Styled"] | {"child": children[0]}} if children else own
+
+
+def is_atom(node: dict) -> bool:
+    return "Text" in node
+
+
+def line_of(node: dict) -> str:
+    if "Text" not in node:
+        raise WrongNodeType("only a text has a line")
+    return node["Text"]
+
+
+def layout_of(node: dict) -> str:
+    if "List" not in node:
+        raise WrongNodeType("only a list has a layout")
+    return node["List"]
+
+
+def styles_of(node: dict) -> tuple[str, list[str]]:
+    """(Block or Span, its styles)."""
+    if "Styled" not in node:
+        raise WrongNodeType("only a style has styles")
+    return next((k, list(v)) for k, v in node["Styled"].items() if k in ("Block", "Span"))
+
+
 def in_memory(spark: SparkSession, nodes: list[tuple], edges: list[tuple]) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 

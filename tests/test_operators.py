@@ -479,3 +479,19 @@ def test_log_store(spark, tmp_path):
     assert store.open_log(spark, str(tmp_path / "s")).count() == 2
     assert store.compact(spark, str(tmp_path / "s"), str(tmp_path / "t")).count() == 1
     assert log.size(held).first()["n_bytes"] == 2
+
+
+def test_parts_of_nodes():
+    text, page, style = {"Text": "a"}, {"List": PAGE, "children": [{"Text": "a"}, "b"]}, {"Styled": {"Block": ["Quote"], "child": {"Text": "a"}}}
+    for node in (text, page, style):
+        assert store.with_children(*store.split(node)) == node
+    assert store.split(style) == ({"Styled": {"Block": ["Quote"]}}, [text]) and store.styles_of(style) == ("Block", ["Quote"])
+    assert store.is_atom(text) and not store.is_atom(page) and store.line_of(text) == "a" and store.layout_of(page) == PAGE
+    for node, children in ((text, [text]), (style, []), (style, [text, text])):
+        with pytest.raises(store.ChildrenMismatch):
+            store.with_children(node, children)
+    for ask, node in ((store.line_of, page), (store.layout_of, text), (store.styles_of, page)):
+        with pytest.raises(store.WrongNodeType):
+            ask(node)
+    with pytest.raises(store.NodeError):
+        store.split({"Other": 1})
