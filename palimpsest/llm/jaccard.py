@@ -232,7 +232,10 @@ def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
     ids = chosen.select(F.col("name").alias("doc_id")).distinct()
     # a doc_id that rows repeat may have other sets, too
     whole = whole_sets(docs.join(if_few(ids), "doc_id", "left_semi"), k).join(if_few(chosen), ["name", "n", "d1", "d2"])
-    whole = scratch.put(whole.dropDuplicates(["node"]).select("node", "n", "hashes"), "whole")
+    whole = whole.select("node", "n", "hashes")
+    if not named.groupBy("doc_id", "n", "d1", "d2").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        whole = whole.dropDuplicates(["node"])  # rows that repeat doc_id and text; where there are none, no set is shuffled
+    whole = scratch.put(whole, "whole")
 
     best = F.min(F.struct((-F.col("common")).alias("o"), F.xxhash64("node").alias("o2"), F.col("node").alias("b"))).alias("p")
     pivots = scratch.put(rows.groupBy("token").agg(best).select("token", "p.b"), "pivots")
