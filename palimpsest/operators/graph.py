@@ -61,7 +61,7 @@ def linked(edges: DataFrame, spans: DataFrame) -> DataFrame:
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth) for roots (root): all that can be reached, the root included, with the least number of steps."""
     scratch = Scratch(edges.sparkSession, "descendants")
-    edges = edges.select(F.col("parent_id").alias("node"), "child_id")
+    edges = scratch.put(edges.select(F.col("parent_id").alias("node"), "child_id"))  # made once, not once a round
     new = scratch.put(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     seen = new
     while not _empty(new):
@@ -74,7 +74,7 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def descendants_until_links(linked_edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): as `descendants`, but a node shown as a link isn't entered, unless another way enters it."""
     scratch = Scratch(linked_edges.sparkSession, "until-links")
-    edges = linked_edges.select(F.col("parent_id").alias("node"), "child_id", "is_link")
+    edges = scratch.put(linked_edges.select(F.col("parent_id").alias("node"), "child_id", "is_link"))
     entered = new = scratch.put(roots.select("root", F.col("root").alias("node")).distinct())
     shown = entered
     while not _empty(new):
@@ -108,7 +108,7 @@ def ancestor_path(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def not_blank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) of the nodes from which a text that isn't blank can be reached, found upwards in one pass over the graph."""
     scratch = Scratch(nodes.sparkSession, "blank")
-    up = edges.select(F.col("child_id").alias("id"), "parent_id")
+    up = scratch.put(edges.select(F.col("child_id").alias("id"), "parent_id"))
     seen = new = scratch.put(nodes.where((F.col("kind") == "Text") & ~is_blank(F.col("text"))).select("id"))
     while not _empty(new):
         new = scratch.put(new.join(up, "id").select(F.col("parent_id").alias("id")).distinct().join(seen, "id", "left_anti"))
