@@ -44,9 +44,9 @@ HOT = 48
 #: From this share on, nodes that aren't linked with a pivot count as like it.
 ALIKE = 0.3
 #: Shingles of a group, 8 bytes each, if it has more than one node.
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 18
 #: Cells of the matrix that is multiplied at once, 4 bytes each.
-CELLS = 1 << 23
+CELLS = 1 << 21
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:

@@ -360,7 +360,7 @@ def masked(spark: SparkSession, documents: DataFrame, rounds: int = 3, trust: fl
         @F.arrow_udf("string")
         def told(texts: pa.Array) -> pa.Array:
             out = []
-            for t in texts.to_pylist():
+            for t in (x.as_py() for x in texts):
                 base = base_spans(t or "")
                 out.append(None if t is None else _masked(t, base, _known_spans(t, base, among)))
             return pa.array(out, pa.string())
@@ -375,7 +375,7 @@ def masked(spark: SparkSession, documents: DataFrame, rounds: int = 3, trust: fl
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        both = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        both = ((t.as_py(), f.as_py()) for t, f in zip(texts, spans, strict=True))
         out = [None if t is None else _masked(t, base_spans(t), [(s["start"], s["end"]) for s in f or ()]) for t, f in both]
         return pa.array(out, pa.string())
 
