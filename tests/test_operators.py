@@ -262,6 +262,25 @@ def test_overlaps_against_brute_force(spark):
     assert pairs(between, "src_id", "id", "a", "b", "i") == found
 
 
+def salad(n, seed=1):
+    import random
+
+    r = random.Random(seed)
+    words = ["the", "tion", "her", "én", "日本", "over", "a", "\0", "ing", "stand"]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 5, 9, 30]))) for _ in range(n)]
+    return texts + [t.replace("e", "3") for t in texts[: n // 3]] + texts[: n // 5] + [" ".join(words) * 300]
+
+
+def test_overlaps_by_sides(spark, monkeypatch):
+    """Whatever sides the texts are cut into, the pairs are those of brute force, and neither tokens nor candidates are written."""
+    texts, made = salad(60), []
+    put = similarity.Scratch.put
+    monkeypatch.setattr(similarity.Scratch, "put", lambda self, df, name="t": made.append(name) or put(self, df, name))
+    monkeypatch.setattr(similarity, "SIDE_TEXTS", 7)
+    assert pairs(similarity.overlaps(blocks(spark, *texts)), "src_id", "id", "a", "b", "i") == brute_overlaps(texts)
+    assert len([n for n in made if n.startswith("half")]) > 4 and not {"tokens", "ranked", "pairs"} & set(made)
+
+
 def test_changes_and_upsert(spark):
     before, after = blocks(spark, "foo", "bar"), blocks(spark, "foo", "baz")
     new = similarity.upsert(similarity.gram_rows(before), similarity.changes(before, after))
