@@ -281,6 +281,13 @@ def test_overlaps_by_sides(spark, monkeypatch):
     assert len([n for n in made if n.startswith("half")]) > 4 and not {"tokens", "ranked", "pairs"} & set(made)
 
 
+def test_reversed_overlaps_of_large_groups_of_copies(spark):
+    texts = ["the same line", "the same lines"] * 12 + ["", "other"]
+    back = similarity.reverse(similarity.overlaps(blocks(spark, *texts)))
+    assert pairs(back, "src_id", "id", "a", "b", "i") == {(y, x, b, a, i) for x, y, a, b, i in brute_overlaps(texts)}
+    assert similarity.overlaps(blocks(spark, "alone")).count() == 0 and similarity.overlaps(blocks(spark, "x").where("false")).count() == 0
+
+
 def test_changes_and_upsert(spark):
     before, after = blocks(spark, "foo", "bar"), blocks(spark, "foo", "baz")
     new = similarity.upsert(similarity.gram_rows(before), similarity.changes(before, after))
