@@ -288,6 +288,16 @@ def test_reversed_overlaps_of_large_groups_of_copies(spark):
     assert similarity.overlaps(blocks(spark, "alone")).count() == 0 and similarity.overlaps(blocks(spark, "x").where("false")).count() == 0
 
 
+def test_best_overlaps_by_sides(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SIDE", 200)
+    texts = salad(40, 2)
+    best = similarity.top_k(similarity.overlaps(blocks(spark, *texts)), 2, "src_id", similarity.overlap_order())
+    by = {}
+    for x, y, a, b, i in brute_overlaps(texts):
+        by.setdefault(x, []).append((-i, -a, -b, y))
+    assert pairs(best, "src_id", "rank", "id") == {(x, k, f[3]) for x, found in by.items() for k, f in enumerate(sorted(found)[:2], 1)}
+
+
 def test_changes_and_upsert(spark):
     before, after = blocks(spark, "foo", "bar"), blocks(spark, "foo", "baz")
     new = similarity.upsert(similarity.gram_rows(before), similarity.changes(before, after))
