@@ -298,6 +298,55 @@ def test_best_overlaps_by_sides(spark, monkeypatch):
     assert pairs(best, "src_id", "rank", "id") == {(x, k, f[3]) for x, found in by.items() for k, f in enumerate(sorted(found)[:2], 1)}
 
 
+def brute_search(terms, texts):
+    """(term, text, i): the bags of both, the term's without the grams at its ends, and nothing for terms of zero grams only."""
+    from collections import Counter
+
+    out = set()
+    for x, term in enumerate(terms):
+        b = b"\0\0\0" + term.encode() + b"\0\0\0"
+        g = [b[i : i + 4].hex() for i in range(len(b) - 3)]
+        drop = min((len(g) - 1) // 2, 3)
+        g = Counter(g[drop : len(g) - drop])
+        for y, t in texts.items():
+            h = sum((brute_grams(p) for p in t), Counter())
+            i = 255 * sum((g & Counter({k.lower(): n for k, n in h.items()})).values()) // sum(g.values())
+            if set(g) != {"00000000"} and i >= 77:
+                out.add((x, y, i))
+    return out
+
+
+def indexed(df):
+    """Whether the blocks stream past an index: no text is dealt out, and no gram is a key."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_search_streams_past_an_index(spark, monkeypatch):
+    terms, texts = salad(12, 3), salad(50, 4)
+    asked = spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
+    want = brute_search(terms, {i: [t] for i, t in enumerate(texts)})
+    for bytes_, meetings in ((1 << 19, 1 << 21), (40, 60)):
+        monkeypatch.setattr(similarity.bags, "BYTES", bytes_)
+        monkeypatch.setattr(similarity.bags, "MEETINGS", meetings)
+        found = similarity.search(asked, blocks(spark, *texts))
+        assert indexed(found) and pairs(found, "term_id", "id", "i") == want
+    monkeypatch.setattr(similarity, "INDEXED", 1)
+    assert pairs(similarity.search(asked, blocks(spark, *texts)), "term_id", "id", "i") == want
+
+
+def test_best_found_of_rows_that_share_an_id(spark):
+    """Rows of one id are one bag, as in the SQL."""
+    terms = ["the tion", "standing over her"]
+    asked = spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
+    held = [(1, "the ti"), (1, "tion her"), (2, "standing"), (3, None), (4, "over her")]
+    found = similarity.search(asked, spark.createDataFrame(held, "id int, text string"))
+    want = brute_search(terms, {1: ["the ti", "tion her"], 2: ["standing"], 4: ["over her"]})
+    assert pairs(found, "term_id", "id", "i") == want
+    best = similarity.top_k(similarity.search(asked, blocks(spark, *salad(30, 5))), 1)
+    assert best.count() == len({x for x, _, _ in brute_search(terms, dict(enumerate([t] for t in salad(30, 5))))})
+
+
 def test_changes_and_upsert(spark):
     before, after = blocks(spark, "foo", "bar"), blocks(spark, "foo", "baz")
     new = similarity.upsert(similarity.gram_rows(before), similarity.changes(before, after))
