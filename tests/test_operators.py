@@ -347,6 +347,13 @@ def test_best_found_of_rows_that_share_an_id(spark):
     assert best.count() == len({x for x, _, _ in brute_search(terms, dict(enumerate([t] for t in salad(30, 5))))})
 
 
+def test_overlaps_between_streams_past_an_index(spark):
+    sources, texts = salad(10, 6), salad(40, 7)
+    found = similarity.overlaps_between(blocks(spark, *sources), blocks(spark, *texts))
+    n = len(sources)
+    assert indexed(found) and pairs(found, "src_id", "id", "a", "b", "i") == {(x, y - n, a, b, i) for x, y, a, b, i in brute_overlaps(sources + texts) if x < n <= y}
+
+
 def test_changes_and_upsert(spark):
     before, after = blocks(spark, "foo", "bar"), blocks(spark, "foo", "baz")
     new = similarity.upsert(similarity.gram_rows(before), similarity.changes(before, after))
