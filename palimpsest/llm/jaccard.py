@@ -210,6 +210,9 @@ def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
     named = sets.where("n > 0 and doc_id is not null")
     classes = named.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "sketch")).alias("first"))
     classes = scratch.put(classes.select(F.col("first.doc_id").alias("name"), "n", "d1", "d2", F.col("first.sketch").alias("sketch")), "named")
+    sets = scratch.put(sets.drop("sketch"), "plain-sets")  # of all rows' sketches only those of distinct sets are read again
+    scratch.drop("sets")
+    named = sets.where("n > 0 and doc_id is not null")
     clash = scratch.put(classes.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name", F.lit(True).alias("clash")), "clash")
     clashes = not clash.isEmpty()
     if clashes:
@@ -222,11 +225,15 @@ def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
     tokens = classes.select("node", F.explode("sketch").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     least = F.floor(0.375 * F.least(F.lit(SKETCH), F.col("n")))
-    hits = scratch.put(tokens.join(shared, "token"), "hits")
+    hits = scratch.put(tokens.join(shared, "token").select("token", "node", "df"), "hits")
+    classes = scratch.put(classes.drop("sketch"), "plain-classes")
+    scratch.drop("named")
+    if clashes:
+        scratch.drop("classes")
     # `common`: how much a node has in common with others; the original of a family has the most
     seen = hits.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.log2("df")).alias("common")).join(classes.select("node", "n"), "node")
     able = scratch.put(seen.where((F.col("c") >= least) & (F.col("c") >= 1)), "able")
-    rows = scratch.put(hits.select("token", "node").join(able, "node"), "rows")
+    rows = scratch.put(hits.select("token", "node").join(able.select("node", "n", "common"), "node"), "rows")
     scratch.drop("hits")
     chosen = scratch.put(classes.select("node", "name", "n", "d1", "d2").join(able.select("node"), "node", "left_semi"), "chosen")
     ids = chosen.select(F.col("name").alias("doc_id")).distinct()
@@ -242,6 +249,7 @@ def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
     met = rows.join(pivots, "token").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     pairs = met.where(F.col("c") >= F.greatest(F.lit(1), F.floor(0.1 * F.least(F.lit(SKETCH), F.col("n"))))).select("a", "b")
     alike = scratch.put(compared(scratch.put(pairs, "pairs"), whole, percent).where(F.col("share") >= ALIKE), "alike")
+    scratch.drop("pairs")
     links = alike.where("linked").select("a", "b")
     roots = scratch.put(components(links, scratch, "cc-0"), "roots-0")
 
@@ -257,6 +265,7 @@ def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
     now = now.join(sizes, ["joined", "family"]).withColumn("group", group).withColumn("unit", F.when(F.col("joined"), name).otherwise(F.col("group")))
     now = scratch.put(now.select("node", "n", "root", "joined", "group", "unit", "parts"), "grouped")
     held = scratch.put(rows.select("token", "node").join(now.select("node", "group", "unit"), "node"), "held")
+    scratch.drop("rows")
     hot = scratch.put(held.select("token", "unit").distinct().groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > HOT).select("token"), "hot")
     lost = held.join(if_few(hot), "token", "left_semi").groupBy("node").agg(F.count("*").alias("lost"))
     nodes = now.join(lost, "node", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
@@ -287,6 +296,7 @@ def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
     x, y = sides(cool.select("token", "unit", "group").distinct().join(told("group").drop("joined", "parts", "size"), "group"), "group")
     wide = opened.where("split").join(x, "unit_x").join(y, ["unit_y", "token"]).where(sized).groupBy("group_x", "group_y").agg(F.count("*").alias("c"), F.min(F.least("bound_x", "bound_y")).alias("bound"))
     tiles = scratch.put(plain.unionAll(wide.where("c >= bound").select("group_x", "group_y")), "opened")
+    scratch.drop("held")
     if not tiles.isEmpty():
         each = tiles.select("*", F.explode(F.array_distinct(F.array("group_x", "group_y"))).alias("group"))
         members = nodes.select("node", "root", "group").join(whole, "node")

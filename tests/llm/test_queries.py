@@ -243,3 +243,16 @@ def test_op8(spark, texts):
             at += n
         assert at <= 2048
     assert len(got) == len(texts) and len(places) <= -(-total // 2048) + 2
+
+
+def test_jaccard_gives_up_its_tables_early(spark, monkeypatch):
+    """Sketches, their tokens and candidate pairs don't stay on disk until the end, and links are found all the same."""
+    from palimpsest.llm import jaccard
+
+    gone, drop = [], jaccard.Scratch.drop
+    monkeypatch.setattr(jaccard.Scratch, "drop", lambda self, name: gone.append(name) or drop(self, name))
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words)), (3, " ".join(words[30:] * 2)), (4, "a b c d e f"), (5, None)]
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {(1, 56, 1), (2, 56, 1), (3, 56, 1), (4, 2, 4), (5, 0, 5)} <= found and len(found) == 6
+    assert {"sets", "named", "rows", "pairs", "held"} <= set(gone)
