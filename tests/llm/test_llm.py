@@ -412,6 +412,27 @@ def test_search_with_repeated_queries(spark, times, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_search_meets_equal_vectors_once(spark, monkeypatch):
+    """Work follows the different vectors: copies under other ids aren't multiplied again, and ties among them go to the smaller ids."""
+    monkeypatch.setattr(voronoi, "TILE", 64)
+    x = np.random.default_rng(4).standard_normal((300, 16))
+    rows = [(300 * c + i, [float(y) for y in v], 1) for c in range(40) for i, v in enumerate(x)]
+    own = np.floor(256 * np.array([v for _, v, _ in rows], np.float32).astype(float)).astype(int)
+    got = defaultdict(list)
+    df = spark.createDataFrame(rows, EMB)
+    for r in voronoi.search(spark, df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ids = np.arange(len(rows))
+    want = {}
+    for q in range(0, len(rows), 50):
+        score = own @ own[q]
+        best = [int(i) for i in np.lexsort((ids, -score)) if i != q][:5]
+        want[q] = [(i, int(score[i])) for i in best]
+    assert dict(got) == want
+    tiles = voronoi._tiles(np.zeros(len(rows), int), ids, own.astype(np.int16), np.zeros((1, 16)))
+    assert sum(len(t[2]) for t in tiles) == len(x) and sum(len(t[5]) for t in tiles) == len(rows)
+
+
 def test_lattice_decoding():
     rng = np.random.default_rng(0)
     z = 3 * rng.standard_normal((400, 8))
