@@ -443,6 +443,22 @@ def test_tile_branches(spark):
     assert tables["sections"].count() == 3
 
 
+def test_branches_of_a_common_line_are_rows_only_at_the_end(spark, monkeypatch):
+    d, n = Doc(), 40
+    d.text("hot")
+    for i in range(n):
+        d.list(f"p{i}", PAGE, d.text(f"x{i}"), "hot", d.text(f"y{i}"))
+    nodes, edges = d.frames(spark)
+    written, put = [], view.Scratch.put
+    monkeypatch.setattr(view.Scratch, "put", lambda self, df, name="t": (table := put(self, df, name), written.append(table.count()))[0])
+    pages = roots(spark, *(f"p{i}" for i in range(n)))
+    around = view.Surroundings(nodes, edges, pages)
+    for before in (True, False):
+        found = view.branches(nodes, edges, pages, before, around)
+        assert pairs(found, "root", "id", "sibling") == {(f"p{i}", "hot", f"p{j}") for i in range(n) for j in range(n) if i != j}
+    assert max(written) < 8 * n  # the branches are n * (n - 1) rows
+
+
 def test_lineage_and_parent_branches(spark):
     d = Doc()
     d.list("top", PAGE, d.list("holder", CHAIN, d.list("linked", PAGE, d.text("t"))))
