@@ -459,6 +459,17 @@ def test_branches_of_a_common_line_are_rows_only_at_the_end(spark, monkeypatch):
     assert max(written) < 8 * n  # the branches are n * (n - 1) rows
 
 
+def test_overlaps_write_no_pairs(spark, monkeypatch):
+    words = [f"the same long line of talk with the number {i}" for i in range(60)]
+    blocks = spark.createDataFrame(list(enumerate(words)), "id long, text string")
+    written, put = [], similarity.Scratch.put
+    monkeypatch.setattr(similarity.Scratch, "put", lambda self, df, name="t": (table := put(self, df, name), written.append(table.count()))[0])
+    monkeypatch.setattr(similarity, "SIDE_TEXTS", 25)  # several sides
+    found = similarity.overlaps(blocks)
+    assert {(r["src_id"], r["id"]) for r in found.collect()} == {(i, j) for i in range(60) for j in range(60) if i != j}
+    assert max(written) <= 60
+
+
 def test_lineage_and_parent_branches(spark):
     d = Doc()
     d.list("top", PAGE, d.list("holder", CHAIN, d.list("linked", PAGE, d.text("t"))))
