@@ -335,6 +335,44 @@ def test_search_streams_past_an_index(spark, monkeypatch):
     assert pairs(similarity.search(asked, blocks(spark, *texts)), "term_id", "id", "i") == want
 
 
+def python_rows(df):
+    """How many rows each step in Python of a plan that has been run gave back."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("pythonNumRowsReceived"):
+            out.append(node.metrics().apply("pythonNumRowsReceived").value())
+    return out
+
+
+def test_a_found_pair_is_no_row_in_python(spark):
+    """However many terms a block is found by, it leaves Python as one row."""
+    terms = [f"the same long line of talk {i}" for i in range(30)]
+    asked = spark.createDataFrame([((i, -i), t) for i, t in enumerate(terms)], "term_id struct<a int, b int>, term string")
+    found = similarity.search(asked, blocks(spark, *terms, "", "quite different"))
+    assert {(r["term_id"]["a"], r["id"]) for r in found.collect() if r["term_id"]["b"] == -r["term_id"]["a"]} == {(i, j) for i in range(30) for j in range(30)}
+    assert python_rows(found) == [30]
+
+
+def test_counter_against_brute_force(monkeypatch):
+    """Sparse and dense tokens, repeated grams, and the least that has to be shared."""
+    import numpy as np
+    import pyarrow as pa
+    from palimpsest.operators import bags
+
+    monkeypatch.setattr(bags, "FEW", 2)
+    texts, rows = salad(30, 8) + ["\0\0\0\0", ""], salad(40, 9) + ["", "aaaaaaaaaa", "\0", "x" * 300]
+    owner, token = bags.tokens(*bags.strings(pa.array(texts)))
+    want = {(r, t): sum((brute_grams(x) & brute_grams(y)).values()) for r, x in enumerate(rows) for t, y in enumerate(texts)}
+    for dense, least in ((0, 1), (20, 1), (20, np.arange(1, len(texts) + 1))):
+        counter = bags.Counter(owner, token, len(texts), dense)
+        found = {(int(r), int(t)): int(n) for part in counter.counts(*bags.strings(pa.array(rows)), least) for r, t, n in zip(*part, strict=True)}
+        assert found == {(r, t): n for (r, t), n in want.items() if n >= (least if isinstance(least, int) else least[t])}
+    assert not list(bags.Counter(owner[:0], token[:0], 0).counts(*bags.strings(pa.array(rows))))
+
+
 def test_best_found_of_rows_that_share_an_id(spark):
     """Rows of one id are one bag, as in the SQL."""
     terms = ["the tion", "standing over her"]
