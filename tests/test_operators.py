@@ -298,6 +298,48 @@ def test_best_overlaps_by_sides(spark, monkeypatch):
     assert pairs(best, "src_id", "rank", "id") == {(x, k, f[3]) for x, found in by.items() for k, f in enumerate(sorted(found)[:2], 1)}
 
 
+def brute_best(texts, k):
+    by = {}
+    for x, y, a, b, i in brute_overlaps(texts):
+        by.setdefault(x, []).append((-i, -a, -b, y))
+    return {(x, n, y, -a, -b, -i) for x, found in by.items() for n, (i, a, b, y) in enumerate(sorted(found)[:k], 1)}
+
+
+def test_best_overlaps_against_brute_force(spark, monkeypatch):
+    """Copies, texts of equal bags, more copies than are asked for, equal scores, and sides of a few texts."""
+    texts = salad(40, 11) + ["same line"] * 6 + ["two of them"] * 2 + ["aaaabaaaaacaaaa", "aaaacaaaaabaaaa", "aaaabaaaaacaaaa", "", ""]
+    texts += [f"the same long line of talk with the number {i}" for i in range(12)]
+    monkeypatch.setattr(similarity, "SIDE_TEXTS", 9)
+    for k in (1, 3):
+        found = similarity.best_overlaps(blocks(spark, *texts), k)
+        rows = [tuple(r) for r in found.select("src_id", "rank", "id", "a", "b", "i").collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == brute_best(texts, k)
+    none = similarity.best_overlaps(blocks(spark, "x").where("false"), 3)
+    assert none.count() == 0 and similarity.best_overlaps(blocks(spark, "alone"), 3).count() == 0
+
+
+def test_best_overlaps_deal_out_no_pairs(spark, monkeypatch):
+    """What leaves Python and is shuffled has a few matches for each text, not all of them."""
+    words = [f"the same long line of talk with the number {i}" for i in range(200)]
+    written, put = [], similarity.Scratch.put
+    monkeypatch.setattr(similarity.Scratch, "put", lambda self, df, name="t", *more: (table := put(self, df, name, *more), written.append(table.count()))[0])
+    found = similarity.best_overlaps(blocks(spark, *words), 3)
+    assert found.count() == 600 and max(written) <= 200
+    found.collect()
+    assert sum(python_rows(found)) <= 200 * (1 + spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(similarity, "FEW", 10)  # the places are too many to be told
+    assert similarity.best_overlaps(blocks(spark, *words), 3).exceptAll(found).isEmpty()
+
+
+def test_query_of_best_overlaps_deals_out_no_pairs(spark, tmp_path):
+    from palimpsest.plans import queries
+
+    talk = [(c, t, "user", f"the same long line of talk with the number {c} {t}") for c in range(40) for t in range(3)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.q_overlap_topk(spark, str(tmp_path))
+    assert len(found.collect()) == 360 and sum(python_rows(found)) <= 120 * (1 + spark.sparkContext.defaultParallelism)
+
+
 def brute_search(terms, texts):
     """(term, text, i): the bags of both, the term's without the grams at its ends, and nothing for terms of zero grams only."""
     from collections import Counter
