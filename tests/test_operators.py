@@ -561,6 +561,26 @@ def test_branches_of_a_common_line_are_rows_only_at_the_end(spark, monkeypatch):
     assert max(written) < 8 * n  # the branches are n * (n - 1) rows
 
 
+def test_branches_of_a_common_line_are_made_by_several_tasks(spark, monkeypatch):
+    d, n = Doc(), 40
+    d.text("hot")
+    for i in range(n):
+        d.list(f"p{i}", PAGE, d.text(f"x{i}"), "hot", d.text(f"y{i}"))
+    nodes, edges = d.frames(spark)
+    monkeypatch.setattr(view, "DEALT", 100, raising=False)
+    found = view.branches(nodes, edges, roots(spark, *(f"p{i}" for i in range(n))), True)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = found.select("root", "sibling", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(rows) == n * (n - 1) and {(r["root"], r["sibling"]) for r in rows} == {(f"p{i}", f"p{j}") for i in range(n) for j in range(n) if i != j}
+    assert len({r["task"] for r in rows}) > 1
+
+
 def test_overlaps_write_no_pairs(spark, monkeypatch):
     words = [f"the same long line of talk with the number {i}" for i in range(60)]
     blocks = spark.createDataFrame(list(enumerate(words)), "id long, text string")
